@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,7 @@ TRAIN_ROWS, BITS, EPOCHS = 8_000, 14, 60
 #: A document is kept at this score or more.
 KEEP = 0.5
 WORDY = re.compile(rb"[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
+TAILS = re.compile(rb"[^\x00-\x40\x5b-\x60\x7b-\x7f.][.,]?[#$%&*@^~|<>+=\\/_]{2,}(?=\s|$)")
 #: Byte classes: 0 other, 1 letter or beyond ASCII, 2 digit, 3 white space, 4 sentence sign.
 CLASSES = np.zeros(256, np.uint8)
 CLASSES[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
@@ -53,56 +55,60 @@ def votes(text: bytes) -> list[int]:
     tokens = text.split()
     k = len(tokens)
     if not k:
-        return [BAD] + [NONE] * 7
+        return [BAD] + [NONE] * 9
     count = Counter(tokens)
     lines = [x for x in text.split(b"\n") if x.strip()]
     upper = int(np.count_nonzero((b >= 65) & (b <= 90)))
     lower = int(np.count_nonzero((b >= 97) & (b <= 122)))
-    bare = sum(1 for t in count if not WORDY.search(t))
     odd = sum(c for t, c in count.items() if not WORDY.search(t))
     ends = text.count(b".") + text.count(b"?") + text.count(b"!")
     excited = text.count(b"!!") + text.count(b"??")
     return [
-        BAD if k < 5 else GOOD if k >= 20 else NONE,
+        BAD if k < 2 and len(text) < 4 else GOOD if k >= 20 else NONE,
         _vote(n[0] / max(1, len(b) - n[3]), 0.08, 0.02),  # signs that are no sentence signs
+        _vote(len(TAILS.findall(text)) / k, 0.2, 0.02) if k >= 5 else NONE,  # words that end in runs of signs
         _vote(upper / max(1, upper + lower), 0.5, 0.15),
-        _vote(max(count.values()) / k, 0.3, 0.15) if k >= 10 else NONE,  # one word over and over
-        _vote((odd - bare) / k if k else 0, 0.15, 0.02),  # tokens without letters
-        _vote(1 - len(set(lines)) / len(lines), 0.4, 0.1) if len(lines) >= 3 else NONE,  # repeated lines
+        _vote(sum(map(eq, tokens, tokens[1:])) / k, 0.1, 0.03) if k >= 10 else NONE,  # a word after itself
+        _vote(1 - len(count) / k, 0.8, 0.65) if k >= 25 else NONE,  # few different words
+        _vote(odd / k, 0.15, 0.04) if k >= 10 else NONE,  # tokens without letters
+        _vote(1 - len(set(lines)) / len(lines), 0.5, 0.1) if len(lines) >= 4 else NONE,  # repeated lines
         _vote(excited / k, 0.1, 0.01),
-        GOOD if ends and 3 <= k / ends <= 40 else BAD if k / max(1, ends) > 120 else NONE,  # sentence length
+        GOOD if ends and 3 <= k / ends <= 40 else BAD if k / max(1, ends) > 400 else NONE,  # sentence length
     ]
 
 
 def expectation_maximisation(patterns: dict[tuple[int, ...], int], rounds: int = 200) -> tuple[float, np.ndarray]:
-    """(share of good, table[labeller, class, vote]) from pattern counts; class 1 is good by the start, where labellers are better than chance."""
+    """(share of good, table[labeller, class, vote]) from pattern counts; class 1 is good by the start."""
     keys = np.array(list(patterns), np.int64).reshape(len(patterns), -1)
     weight = np.array(list(patterns.values()), np.float64)
     m = keys.shape[1]
-    share = 0.8
-    table_ = np.zeros((m, 2, 3))
-    table_[:, 1] = (0.1, 0.6, 0.3)
-    table_[:, 0] = (0.5, 0.2, 0.3)
-    start = table_.copy()
+    start = np.zeros((m, 2, 3))
+    start[:, 1] = (0.02, 0.68, 0.3)
+    start[:, 0] = (0.4, 0.3, 0.3)
+    # First responsibilities: junk is of many kinds, so one labeller's bad vote makes a document likely bad.
+    share, p, table_ = 0.9, np.where((keys == BAD).any(1), 0.1, 0.97), start.copy()
     for _ in range(rounds):
-        p = posterior(keys, share, table_)
         new_share = float(np.clip((weight * p).sum() / weight.sum(), 0.01, 0.99))
         for c, q in ((1, p), (0, 1 - p)):
             for j in range(m):
                 # The start counts as a few documents, so an unused vote keeps its place.
                 table_[j, c] = np.bincount(keys[:, j], weight * q, 3) + 5 * start[j, c]
                 table_[j, c] /= table_[j, c].sum()
-        if abs(new_share - share) < 1e-9:
+        done, share = abs(new_share - share) < 1e-9, new_share
+        p = posterior(keys, share, table_)
+        if done:
             break
-        share = new_share
     return share, table_
 
 
 def posterior(keys: np.ndarray, share: float, table_: np.ndarray) -> np.ndarray:
     """Probability of good for each row of votes."""
     at = np.arange(keys.shape[1])
-    good = np.log(share) + np.log(table_[at, 1, keys]).sum(1)
-    bad = np.log(1 - share) + np.log(table_[at, 0, keys]).sum(1)
+    # Whether a labeller votes at all says nothing: terms are conditional on a vote, and an abstention adds none.
+    cast = table_[:, :, :2] / table_[:, :, :2].sum(2, keepdims=True)
+    terms = np.concatenate([np.log(cast), np.zeros((len(cast), 2, 1))], 2)
+    good = np.log(share) + terms[at, 1, keys].sum(1)
+    bad = np.log(1 - share) + terms[at, 0, keys].sum(1)
     return 1 / (1 + np.exp(np.clip(bad - good, -700, 700)))
 
 
