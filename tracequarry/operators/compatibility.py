@@ -1,0 +1,83 @@
+"""Versions, record types, drift and links between files: SL301 to SL306, SL401, SL402."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+
+def unsupported_versions(events: DataFrame, supported: list[str]) -> DataFrame:
+    """SL301: the first unsupported version marker of a session."""
+    odd = events.where(F.col("version").isNotNull() & ~F.col("version").isin(*supported))
+    return odd.groupBy("session").agg(F.min(F.struct("line", "version")).alias("m")).select("session", F.col("m.line").alias("line"), F.col("m.version").alias("version"))
+
+
+def unknown_records(records: DataFrame, known: list[str], critical_keys: list[str] = ()) -> DataFrame:
+    """SL302: unknown types that carry semantic fields, or an unknown critical key (session, line, record_type, semantic, keys)."""
+    odd_type = ~F.coalesce(F.col("record_type"), F.lit("")).isin(*known) & F.col("semantic")
+    odd_key = F.exists("keys", lambda k: k.isin(*critical_keys)) if critical_keys else F.lit(False)
+    return records.where(odd_type | odd_key).select("session", "line", "record_type")
+
+
+def drift(events: DataFrame, foreign: DataFrame | None = None, unsupported: DataFrame | None = None, cap: int = 8) -> DataFrame:
+    """SL304: a version marker that changes, or a record type of another format; each (kind, previous, observed) once, ``cap`` a session, none where SL301 holds.
+
+    ``foreign`` is a small table (record_type, format) of the types of other formats.
+    """
+    w = W.partitionBy("session").orderBy("idx")
+    marks = events.where("version is not null").select("session", "idx", "version", F.lag("version").over(w).alias("previous"))
+    found = marks.where("previous <> version").select("session", "idx", F.lit("version").alias("drift"), "previous", F.col("version").alias("observed"))
+    if foreign is not None:
+        odd = events.join(F.broadcast(foreign), "record_type").select("session", "idx", F.lit("envelope").alias("drift"), F.lit(None).cast("string").alias("previous"), F.col("format").alias("observed"))
+        found = found.unionByName(odd)
+    once = found.groupBy("session", "drift", "previous", "observed").agg(F.min("idx").alias("idx"))
+    if unsupported is not None:
+        once = once.join(unsupported.select("session").distinct(), "session", "left_anti")
+    return once.withColumn("r", F.row_number().over(W.partitionBy("session").orderBy("idx", "drift", "observed"))).where(F.col("r") <= cap).drop("r")
+
+
+def foreign_shapes(items: DataFrame) -> DataFrame:
+    """SL305: reasoning items whose content is an array or anything but text, one row a session (session, ordinal, family, shape)."""
+    bad = items.where("family = 'reasoning' and shape in ('array', 'other')")
+    return bad.groupBy("session").agg(F.count(F.lit(1)).alias("item_count"), F.min("ordinal").alias("first_ordinal"), F.min(F.struct("ordinal", "shape")).alias("m")).select("session", "item_count", "first_ordinal", F.col("m.shape").alias("shape"))
+
+
+def unknown_metadata(records: DataFrame, known: list[str], keep: int = 32) -> DataFrame:
+    """SL306: unknown types without semantic fields; the first ``keep`` types by line, the others together."""
+    odd = records.where(~F.col("record_type").isin(*known) & ~F.col("semantic"))
+    types = odd.groupBy("session", "record_type").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("line"))
+    ranked = types.withColumn("r", F.row_number().over(W.partitionBy("session").orderBy("line", "record_type")))
+    name = F.when(F.col("r") <= keep, F.col("record_type")).otherwise("<other-types>")
+    return ranked.groupBy("session", name.alias("type_value")).agg(F.sum("n").alias("n"), F.min("line").alias("first_line"))
+
+
+def unresolved_links(links: DataFrame, keys: DataFrame) -> DataFrame:
+    """SL401: references that no other file, or more than one, answers.
+
+    ``links``: file, link_index, link_kind, target; ``keys``: key, file (session
+    ids, file stems, tips). Null targets are no links.
+    """
+    bare = links.where("target is not null")
+    hits = bare.join(keys.select(F.col("key").alias("target"), F.col("file").alias("other")).distinct(), "target")
+    # Distinct keys a file: counting rows counts files.
+    counted = hits.where("other <> file").groupBy("file", "link_index", "link_kind", "target").agg(F.count_distinct("other").alias("candidates"))
+    full = bare.join(counted, ["file", "link_index", "link_kind", "target"], "left").withColumn("candidate_count", F.coalesce("candidates", F.lit(0)))
+    soft = F.col("target").contains("/") | (F.col("link_kind") == "head_ref")
+    resolution = F.when(F.col("candidate_count") > 1, "ambiguous").when(soft, "unresolved").otherwise("missing")
+    return full.where("candidate_count <> 1").select("file", "link_index", "link_kind", "target", "candidate_count", resolution.alias("resolution"))
+
+
+def index_divergence(index: DataFrame, files: DataFrame, complete: bool = True, edges: DataFrame | None = None) -> DataFrame:
+    """SL402: files the index misses, entries without a file (only where membership is complete), edges with an unknown end.
+
+    ``index`` and ``files``: key; ``edges``: parent, child.
+    """
+    out = files.select("key").distinct().join(index.select("key"), "key", "left_anti").select(F.lit("file-not-in-index").alias("divergence"), "key")
+    if complete:
+        out = out.unionByName(index.select("key").distinct().join(files.select("key"), "key", "left_anti").select(F.lit("index-entry-no-file").alias("divergence"), "key"))
+    if edges is not None:
+        for end in ("parent", "child"):
+            lost = edges.select(F.col(end).alias("key")).distinct().join(index.select("key"), "key", "left_anti")
+            out = out.unionByName(lost.select(F.lit(f"spawn-edge-orphan-{end}").alias("divergence"), "key"))
+    return out
