@@ -252,7 +252,8 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id_type = docs.schema[id_col].dataType.simpleString()
     keyed = _ids(docs, id_col, text_col)
     segments = _segments(keyed, id_type, length)
-    twice = segments.groupBy("mini").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("mini")
+    # Cut first, so that the join below has plain exchanges on both sides and a hot minimizer can be split.
+    twice = cut(segments.groupBy("mini").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("mini"))
     shared = cut(segments.join(twice, "mini", "left_semi"))
     kinds = cut(shared.groupBy("mini", "seg").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("id", "h", "a", "n")).alias("at")))
     bucket = kinds.groupBy("mini").agg(F.count(F.lit(1)).alias("d")).where("d > 1")
