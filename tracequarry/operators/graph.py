@@ -103,7 +103,7 @@ def _by_joins(edges: DataFrame) -> DataFrame:
     rounds = max(1, math.ceil(math.log2(n + 1)) + 1)
     to = F.when(F.col("has_parent"), F.col("parent_id")).otherwise(F.col("id"))
     own = e.select("session", "id", to.alias("hop"), "idx")
-    m = own.select("session", F.col("id").alias("hop"), F.col("marked").alias("pm"))
+    m = e.select("session", F.col("id").alias("hop"), F.col("marked").alias("pm"))
     state = cut(own.join(m, ["session", "hop"]).select("session", "id", "hop", F.col("id").alias("least"), (F.col("pm") & (F.col("hop") != F.col("id"))).alias("reach"), F.col("idx").alias("peak")))
     for _ in range(rounds):
         far = state.select("session", F.col("id").alias("hop"), F.col("hop").alias("hop2"), F.col("least").alias("least2"), F.col("reach").alias("reach2"), F.col("peak").alias("peak2"))
