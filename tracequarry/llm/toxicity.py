@@ -234,8 +234,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     in_other = counts(0, set(in_toxic))
     share = positive / (positive + negative)
     needed = math.log(max(2, len(in_toxic))) + 2
+    # A beginning that says no more than one of its continuations gives way to it.
+    carried: Counter = Counter()
+    for f, a in in_toxic.items():
+        stem = f.rstrip("*")
+        parent = (stem[:-1] if f.endswith("*") else stem[: PREFIXES[-1]]) + "*"
+        carried[parent] = max(carried[parent], a)
     lexicon = {}
     for f, a in in_toxic.items():
+        if f.endswith("*") and a < 1.25 * carried[f]:
+            continue
         b = in_other.get(f, 0)
         ratio = ((a + 0.5) / (positive + 1)) / ((b + 0.5) / (negative + 1))
         gain = a * math.log(a / (a + b) / share) + (b * math.log(b / (a + b) / (1 - share)) if b else 0)
