@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_of
+from .common import cut, table, text_of
 
 MIN_SITES, MAX_CHARS = 5, 200
 #: Estimates within this share of the threshold are counted exactly.
@@ -44,7 +44,7 @@ def _lines(docs: DataFrame, text_col: str, site_col: str, max_chars: int, *more)
 def boilerplate(docs: DataFrame, text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, max_chars: int = MAX_CHARS) -> DataFrame:
     """Hash pairs (k, k2) of the lines that stand on ``min_sites`` sites or more."""
     lines = _lines(docs, text_col, site_col, max_chars).select("k", "k2", "site")
-    many = lines.groupBy("k", "k2").agg(F.min("site").alias("a"), F.max("site").alias("z")).where("a < z").select("k", "k2")
+    many = cut(lines.groupBy("k", "k2").agg(F.min("site").alias("a"), F.max("site").alias("z")).where("a < z").select("k", "k2"))
     spread = lines.join(many, ["k", "k2"], "left_semi").groupBy("k", "k2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("sites"))
     sure = spread.where(F.col("sites") > min_sites * (1 + MARGIN)).select("k", "k2")
     near = spread.where(F.col("sites").between(min_sites * (1 - MARGIN), min_sites * (1 + MARGIN))).select("k", "k2")
@@ -57,7 +57,8 @@ def drop_boilerplate(
 ) -> DataFrame:
     """``docs`` with the boilerplate lines taken out of the text, and two counts: _n_lines, _n_removed."""
     th = F.xxhash64(text_of(text_col))
-    bad = boilerplate(docs, text_col, site_col, min_sites, max_chars)
+    # Cut first: the join with the lines then has plain exchanges on both sides, and a very common line can be split.
+    bad = cut(boilerplate(docs, text_col, site_col, min_sites, max_chars))
     lines = _lines(docs, text_col, site_col, max_chars, F.col(id_col).alias("id"), th.alias("th"))
     # Positions are bounded by the document's own lines; the text itself is exchanged once, with its row.
     hits = lines.join(bad, ["k", "k2"]).groupBy("id", "th").agg(F.collect_set("pos").alias("_hit"))
