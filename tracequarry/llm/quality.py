@@ -182,7 +182,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(at, pa.list_(pa.int32())), pa.array(vs, pa.list_(pa.float32())), pa.array(ys, pa.float64())], ["h", "at", "v", "y"])
 
     taken = cut(chosen).mapInArrow(profiled, "h long, at array<int>, v array<float>, y double")
-    examples = [(np.array(r.at, np.int64), np.array(r.v), r.y) for r in sorted(taken.toLocalIterator(), key=lambda r: r.h)]
+    examples = [(np.array(r.at, np.int32), np.array(r.v, np.float32), r.y) for r in sorted(taken.toLocalIterator(), key=lambda r: r.h)]
     w, bias = train(examples)
     shared = docs.sparkSession.sparkContext.broadcast((soft, w.astype(np.float32), bias))
 
