@@ -40,14 +40,14 @@ def rollout(tmp):
     (tmp / "rollout-x.jsonl").write_text("".join(json.dumps(r) + "\n" for r in rows))
 
 
-def agents(tmp):
+def agents(tmp, name="agents.json", checkpoints=({"id": "p1", "seq": 1, "hash": "h"}, {"id": "p2", "seq": 3, "hash": "i"})):
     items = [
         {"id": "a1", "type": "message", "role": "user", "content": "hi", "timestamp": T0.format(0)},
         {"id": "a2", "prev_id": "a1", "type": "tool_call", "name": "get", "call_id": "k", "args": "{\"q\": 1}", "timestamp": T0.format(1)},
         {"id": "a3", "prev_id": "a2", "type": "tool_result", "call_id": "k", "content": "r", "timestamp": T0.format(2)},
         {"id": "a4", "prev_id": "a3", "type": "tool_result", "call_id": "k", "content": "r", "timestamp": T0.format(3)},
     ]
-    (tmp / "agents.json").write_text(json.dumps({"items": items, "run_state": {"x": 1}, "checkpoints": [{"id": "p1", "seq": 1, "hash": "h"}, {"id": "p2", "seq": 3, "hash": "i"}]}))
+    (tmp / name).write_text(json.dumps({"items": items, "run_state": {"x": 1}, "checkpoints": list(checkpoints)}))
 
 
 def own(tmp):
@@ -62,6 +62,7 @@ def got(spark, tmp_path_factory):
     tmp = tmp_path_factory.mktemp("logs")
     for f in (chat, rollout, agents, own):
         f(tmp)
+    agents(tmp, "calls.json", ())
     (tmp / "bad.jsonl").write_bytes(b"\xff\xfe{}\n{}\n")
     (tmp / "notes.json").write_text("[1, 2]")
     return api.scan(spark, str(tmp)), str(tmp)
@@ -94,7 +95,7 @@ def test_verdicts_and_rollups(got):
     result, _ = got
     v = {r.session.rsplit("/", 1)[-1]: r.verdict for r in result["verdicts"].collect()}
     assert v["own.jsonl"] == "healthy" and v["agents.json"] == "invalid" and v["bad.jsonl"] == "unreadable" and v["notes.json"] == "unsupported"
-    assert sum(r.n for r in result["totals"].collect()) == 6
+    assert sum(r.n for r in result["totals"].collect()) == 7
     states = {(r.session.rsplit("/", 1)[-1], r.state) for r in result["coverage"].where("code = 'SL101'").collect()}
     assert ("own.jsonl", "performed") in states and ("bad.jsonl", "empty-input") in states
 
@@ -114,8 +115,8 @@ def test_repair_and_verify(spark, got, tmp_path):
     _, path = got
     e = api.load(spark, path)["events"]
     fixed, steps = api.repair(spark, path)
-    names = fixed.where("session like '%agents.json'").select("id").collect()
-    assert "a4" not in {r.id for r in names}
+    names = lambda f: {r.id for r in fixed.where(f"session like '%{f}'").select("id").collect()}
+    assert "a4" not in names("calls.json") and "a4" in names("agents.json")  # the latter has an unsafe continuation
     assert all(api.verify(e.drop("seq"), fixed.drop("seq"), steps).values())
     sinks.export_events(fixed, str(tmp_path / "out"))
     assert spark.read.text(str(tmp_path / "out")).count() == fixed.count()
@@ -168,3 +169,19 @@ def test_snapshot_shapes(spark, tmp_path):
     got = api.verify_outcome(spark, contract, str(tmp_path / "s.csv"), str(tmp_path / "t.json"))
     cond = {(r["item"], r.condition): r.status for r in got["conditions"].collect()}
     assert cond["1", "ok"] == "VERIFIED" and cond["2", "ok"] == "NOT_APPLICABLE" and got["outcome"].first().outcome == "VERIFIED"
+
+
+def test_reconcile_preview_and_bytes(spark, tmp_path):
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    own(logs)
+    agents(logs, "calls.json", ())
+    (tmp_path / "i.json").write_text(json.dumps({"entries": [{"sessionId": "s-9"}]}))
+    got = {(r.divergence, r.key) for r in api.reconcile(spark, str(logs), str(tmp_path / "i.json")).collect()}
+    assert got == {("file-not-in-index", "s-2"), ("index-entry-no-file", "s-9")}
+    deltas = {(r.delta, r.id) for r in api.preview(spark, str(logs)).collect()}
+    assert deltas == {("removed", "a4")}
+    one = api.check_bytes(spark, "own.jsonl", (logs / "own.jsonl").read_bytes())
+    assert one["findings"].isEmpty() and one["verdicts"].first().verdict == "healthy"
+    assert api.session_roots(spark, str(logs)).first().files == 2
+    assert api.ambiguous(api.load(spark, str(logs))["events"]).isEmpty()

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import changes, graph, outcome
+from .operators import changes, compatibility, graph, outcome, pairing
 from .operators.graph import cut
 from .plans import corpus, runner
 from .plans.runner import NEUTRAL, Profile
@@ -97,13 +97,14 @@ def verify(before: DataFrame, repaired: DataFrame, steps: DataFrame) -> dict[str
     cols = ["id", "kind", "payload_hash"]
     lost = changes.equivalent(before, repaired, cols)
     planned = steps.where("action not like 'blocked%'").select("session").distinct()
-    again = repaired
+    done = repaired.join(planned, "session", "left_semi")
+    again = done
     for recipe in RECIPES.values():
         again = recipe(again)
     return {
         "nothing_added": repaired.select("session", "idx", *cols).exceptAll(before.select("session", "idx", *cols)).isEmpty(),
         "only_planned": lost.join(planned, "session", "left_anti").isEmpty(),
-        "idempotent": again.count() == repaired.count(),
+        "idempotent": again.count() == done.count(),
     }
 
 
@@ -127,5 +128,55 @@ def doctor(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {"files": corpus.folder_summary(listing), "totals": corpus.totals(check(spark, path)["verdicts"])}
 
 
+def check_bytes(spark: SparkSession, name: str, data: bytes, profile: Profile = NEUTRAL) -> dict[str, DataFrame]:
+    """``check`` of one log that is at hand as bytes."""
+    one = spark.createDataFrame([(name, len(data), bytearray(data))], "path string, length long, content binary")
+    return runner.run(files.split(cut(files.read_sessions(one))), profile)
+
+
+def reconcile(spark: SparkSession, path: str, index: str, state: str | None = None) -> DataFrame:
+    """SL402: the sessions below ``path`` against a session index, and the spawn edges of a state database.
+
+    Entries without a file are only reported where the index was read whole; a
+    truncated or malformed index is a divergence of its own.
+    """
+    parts = load(spark, path)
+    keys, condition = files.read_index(spark, index)
+    have = parts["files"].select(F.col("facts")["session_id"].alias("key")).where("key is not null")
+    edges = None
+    if state:
+        tables = files.read_state(spark, state)
+        edges = tables["thread_spawn_edges"].select(F.col("parent_thread_id").alias("parent"), F.col("child_thread_id").alias("child"))
+        keys = keys.unionByName(tables["threads"].select(F.col("id").alias("key"))).distinct()
+    out = compatibility.index_divergence(keys, have, condition == "complete", edges)
+    if state:
+        out = out.unionByName(tables["rollout_migration_skipped_rollouts"].select(F.lit("migration-skip-recorded").alias("divergence"), F.col("rollout_path").alias("key")))
+    return out if condition == "complete" else out.unionByName(spark.createDataFrame([(condition, index)], "divergence string, key string"))
+
+
+def ambiguous(events: DataFrame) -> DataFrame:
+    """Events whose pairing is open, so that no repair may touch them: reused correlators, several results, lone sides."""
+    pick = lambda df, why: df.select("session", "corr", F.lit(why).alias("reason"))
+    lone = pairing.orphan_results(events).unionByName(pairing.dangling_calls(events)).where("corr is not null")
+    reasons = pick(pairing.reused_calls(events), "reused").unionByName(pick(pairing.multiple_results(events).where("repairability = 'manual'"), "results")).unionByName(pick(lone, "lone"))
+    return events.where("corr is not null").select("session", "corr", "idx", "id").join(reasons, ["session", "corr"]).select("session", "idx", "id", "reason")
+
+
+def preview(spark: SparkSession, path: str, **more) -> DataFrame:
+    """What a repair would change, as deltas; nothing is written."""
+    fixed, _ = repair(spark, path, **more)
+    return changes.diff(load(spark, path, **more)["events"], fixed)
+
+
+def session_roots(spark: SparkSession, path: str) -> DataFrame:
+    """Folders below ``path`` that hold logs, with their number and newest file."""
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "modificationTime")
+    logs = listing.where(F.col("path").rlike(r"\.jsonl?$"))
+    return logs.groupBy(F.regexp_extract("path", "^(.*)/[^/]+$", 1).alias("root")).agg(F.count(F.lit(1)).alias("files"), F.max(F.struct("modificationTime", "path")).alias("m")).select("root", "files", F.col("m.path").alias("newest"))
+
+
 export = sinks.export_events
 detect_format = detect
+check_file = check
+check_dir = scan
+diff_sessions = diff
