@@ -43,12 +43,13 @@ def _lines(docs: DataFrame, text_col: str, site_col: str, max_chars: int, *more)
 
 def boilerplate(docs: DataFrame, text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, max_chars: int = MAX_CHARS) -> DataFrame:
     """Hash pairs (k, k2) of the lines that stand on ``min_sites`` sites or more."""
-    lines = _lines(docs, text_col, site_col, max_chars).select("k", "k2", "site")
-    many = cut(lines.groupBy("k", "k2").agg(F.min("site").alias("a"), F.max("site").alias("z")).where("a < z").select("k", "k2"))
+    # One row for each line and site, combined map-side: a line that is everywhere has no more rows than there are sites.
+    lines = cut(_lines(docs, text_col, site_col, max_chars).select("k", "k2", "site").distinct())
+    many = lines.groupBy("k", "k2").agg(F.min("site").alias("a"), F.max("site").alias("z")).where("a < z").select("k", "k2")
     spread = lines.join(many, ["k", "k2"], "left_semi").groupBy("k", "k2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("sites"))
     sure = spread.where(F.col("sites") > min_sites * (1 + MARGIN)).select("k", "k2")
     near = spread.where(F.col("sites").between(min_sites * (1 - MARGIN), min_sites * (1 + MARGIN))).select("k", "k2")
-    exact = lines.join(near, ["k", "k2"], "left_semi").distinct().groupBy("k", "k2").agg(F.count(F.lit(1)).alias("sites")).where(F.col("sites") >= min_sites).select("k", "k2")
+    exact = lines.join(near, ["k", "k2"], "left_semi").groupBy("k", "k2").agg(F.count(F.lit(1)).alias("sites")).where(F.col("sites") >= min_sites).select("k", "k2")
     return sure.unionByName(exact)
 
 
