@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import rows, table
 
-CACHE = 200_000
+CACHE = 600_000
 #: Unicode white space.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
@@ -55,8 +55,8 @@ class BytePairs:
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.strings = {i: s for s, i in [*ids.items(), *self.special.items()]}
         self.chars = _byte_chars()
-        self.spaces = regex.compile(f"[{SPACE}]+")
-        self.words = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
+        # White space only parts words, so runs of it need no folding first.
+        self.words = regex.compile(rf"\p{{L}}+|'(?:s|t|re|ve|m|ll|d)|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.known: dict[str, tuple[int, str, str]] = {}
 
@@ -72,27 +72,23 @@ class BytePairs:
         ids = [self.vocab[s] for s in symbols if s in self.vocab]
         n = len(ids)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        queue = []
-
-        def offer(left: int) -> None:
-            right = after[left]
-            if right >= 0 and (found := self.merges.get((ids[left], ids[right]))):
-                heapq.heappush(queue, (found[0], left, ids[left], ids[right], found[1]))
-
-        for k in range(n - 1):
-            offer(k)
+        get, pop, push = self.merges.get, heapq.heappop, heapq.heappush
+        queue = [(found[0], k, pair, found[1]) for k, pair in enumerate(zip(ids, ids[1:], strict=False)) if (found := get(pair))]
+        heapq.heapify(queue)
         while queue:
-            _, left, a, b, joined = heapq.heappop(queue)
+            _, left, pair, joined = pop(queue)
             right = after[left]
-            if ids[left] != a or right < 0 or ids[right] != b:
+            if right < 0 or ids[left] != pair[0] or ids[right] != pair[1]:
                 continue  # stale: one of the two has been merged meanwhile
             ids[left], ids[right] = joined, -1
-            after[left] = after[right]
-            if after[right] >= 0:
-                before[after[right]] = left
-            if before[left] >= 0:
-                offer(before[left])
-            offer(left)
+            beyond, ahead = after[right], before[left]
+            after[left] = beyond
+            if beyond >= 0:
+                before[beyond] = left
+                if found := get(pair := (joined, ids[beyond])):
+                    push(queue, (found[0], left, pair, found[1]))
+            if ahead >= 0 and (found := get(pair := (ids[ahead], joined))):
+                push(queue, (found[0], ahead, pair, found[1]))
         return [i for i in ids if i >= 0]
 
     def _entry(self, word: str) -> tuple[int, str, str]:
@@ -108,10 +104,9 @@ class BytePairs:
             if part in self.special:
                 yield 1, str(self.special[part]), part
             elif part:
-                clean = _lower(self.spaces.sub(" ", part if part.isascii() else unicodedata.normalize("NFC", part)))
-                known = self.known
-                for word in self.words.findall(clean):
-                    found = known.get(word) or self._entry(word)
+                words = self.words.findall(_lower(part if part.isascii() else unicodedata.normalize("NFC", part)))
+                for word, found in zip(words, map(self.known.get, words), strict=True):
+                    found = found or self._entry(word)
                     if found[0]:
                         yield found
 
