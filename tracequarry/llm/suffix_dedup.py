@@ -39,7 +39,7 @@ from .common import cut, rows, table, text_of, texts
 from .decontam import WaveletTree
 
 LENGTH, GRAM = 200, 64
-SHARD_BYTES, HOT = 2 << 20, 2_000
+SHARD_BYTES, HOT = 1 << 20, 2_000
 #: Bytes of a text hashed at a time.
 CHUNK = 1 << 18
 _ODD = 0x9E3779B97F4A7C15
@@ -252,7 +252,8 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id_type = docs.schema[id_col].dataType.simpleString()
     keyed = _ids(docs, id_col, text_col)
     segments = _segments(keyed, id_type, length)
-    twice = segments.groupBy("mini").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("mini")
+    # Cut first, so that the join below has plain exchanges on both sides and a hot minimizer can be split.
+    twice = cut(segments.groupBy("mini").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("mini"))
     shared = cut(segments.join(twice, "mini", "left_semi"))
     kinds = cut(shared.groupBy("mini", "seg").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("id", "h", "a", "n")).alias("at")))
     bucket = kinds.groupBy("mini").agg(F.count(F.lit(1)).alias("d")).where("d > 1")
@@ -261,23 +262,30 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     asked = wanted.groupBy("id", "h").agg(F.collect_list(F.struct("mini", "seg", "a", "n", "hot")).alias("ask"))
     source = keyed.alias("t").join(asked.alias("q"), F.col("t.id").eqNullSafe(F.col("q.id")) & (F.col("t.h") == F.col("q.h"))).select("ask", "t")
 
+    types = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64()]
+
+    def packed(out):
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], ["mini", "seg", "part", "k", "w1", "w2"])
+
     def fetch(batches):
         for whole in batches:
-            for batch in rows(whole, 4 << 20, "t"):
-                out: list[list] = [[] for _ in range(6)]
+            for batch in rows(whole, 1 << 20, "t"):
+                out: list[list] = [[] for _ in types]
                 for ask, text in zip(batch.column(0).to_pylist(), texts(batch, "t"), strict=True):
                     for q in ask:
                         part = text[q["a"] : q["a"] + q["n"]]
                         if not q["hot"]:
                             for column, x in zip(out, (q["mini"], q["seg"], part, None, None, None), strict=True):
                                 column.append(x)
-                            continue
-                        for k in range(len(part) - length + 1):
-                            d = xxhash.xxh3_128_intdigest(part[k : k + length])
-                            for column, x in zip(out, (q["mini"], q["seg"], None, k, _signed(d >> 64), _signed(d & ((1 << 64) - 1))), strict=True):
-                                column.append(x)
-                types = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], ["mini", "seg", "part", "k", "w1", "w2"])
+                        else:
+                            for k in range(len(part) - length + 1):
+                                d = xxhash.xxh3_128_intdigest(part[k : k + length])
+                                for column, x in zip(out, (q["mini"], q["seg"], None, k, _signed(d >> 64), _signed(d & ((1 << 64) - 1))), strict=True):
+                                    column.append(x)
+                        if len(out[0]) >= 20_000:  # the windows of many hot segments are handed on piece by piece
+                            yield packed(out)
+                            out = [[] for _ in types]
+                yield packed(out)
 
     fetched = cut(source.mapInArrow(fetch, "mini long, seg long, part binary, k int, w1 long, w2 long"))
     volume = fetched.agg(F.sum(F.length("part")).alias("n"), F.count("k").alias("k")).first()
