@@ -517,3 +517,44 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     clean = spark.read.parquet(f"{d}/decontaminate").where("doc_id = 7000").first().text
     assert SEEDS[0] in clean and "paragraph" not in clean
     assert Counter(map(tuple, p.run(spark, d).collect())) == Counter(map(tuple, at.collect()))
+
+
+def test_pipeline_drops_edited_copies_and_keeps_others(spark):
+    import random
+
+    import corpus_pipeline as p
+    from tracequarry.llm.near_copies import jaccard
+
+    random.seed(6)
+    data, kept = [], set()
+    for g in range(30):
+        base = [f"w{random.randrange(10**6)}" for _ in range(300)]
+        kept.add(g * 100)
+        data.append((g * 100, " ".join(base)))
+        for n, edits in enumerate((1, 5, 6, 25)):
+            w = list(base)
+            for at in random.sample(range(0, 300, 10), edits):
+                w[at] = f"x{random.randrange(10**6)}"
+            data.append((g * 100 + n + 1, " ".join(w)))
+            near = jaccard(data[-1][1].encode(), " ".join(base).encode())
+            assert (near >= 0.8) == (edits < 25)
+            kept |= set() if edits < 25 else {g * 100 + n + 1}
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in data], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in p.near_dedup_stage(spark, docs, "").collect()} == kept
+
+
+def test_near_copies_link_whatever_leads_their_bucket(spark, monkeypatch):
+    """A chain a-b-c whose ends are too far apart is one component, with or without rounds of leaders that find it."""
+    from tracequarry.llm import near_copies as m
+
+    w = [f"w{k}" for k in range(300)]
+    chain = [" ".join([f"y{k}" if k < 25 * step else x for k, x in enumerate(w)]) for step in range(4)]
+    near = [[m.jaccard(a.encode(), b.encode()) >= 0.8 for b in chain] for a in chain]
+    assert all(near[k][k + 1] for k in range(3)) and not near[0][3]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate([*chain, "", " ", "one two", "ONE  two", None])], "doc_id long, text string")
+    real = m._star
+    for star in (real, lambda members, seed: real(members, seed).limit(0)):
+        monkeypatch.setattr(m, "_star", star)
+        roots = {r.h: r.root for r in m.similar_texts(docs).collect()}
+        at = [roots.get(r.h, r.h) for r in docs.select(m.text_hash().alias("h")).collect()]
+        assert len(set(at[:4])) == 1 and at[4] == at[5] == at[8] and at[6] == at[7] and len(set(at)) == 3
