@@ -558,3 +558,13 @@ def test_near_copies_link_whatever_leads_their_bucket(spark, monkeypatch):
         roots = {r.h: r.root for r in m.similar_texts(docs).collect()}
         at = [roots.get(r.h, r.h) for r in docs.select(m.text_hash().alias("h")).collect()]
         assert len(set(at[:4])) == 1 and at[4] == at[5] == at[8] and at[6] == at[7] and len(set(at)) == 3
+
+
+def test_pipeline_takes_out_long_lines(spark):
+    import corpus_pipeline as p
+
+    long = " ".join(f"passage{k}" for k in range(60))
+    data = [(k, f"{long}\nown line {k}", f"s{k}") for k in range(5)] + [(10 + k, long, f"s{k}") for k in range(2)] + [(20 + k, f"{long}!\nother {k}", f"s{k}") for k in range(4)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+    got = {r.doc_id: r.text for r in p.line_stage(spark, docs, "").collect()}
+    assert len(long) > 200 and got == {i: f"own line {i}" if i < 5 else t for i, t, _ in data}

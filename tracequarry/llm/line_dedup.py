@@ -1,9 +1,8 @@
 """Cross-site boilerplate lines, DataFrame operations only.
 
 A line (trimmed of spaces) is boilerplate when it is at most ``max_chars``
-long and stands on at least ``min_sites`` different sites. Longer lines are
-prose: where they repeat, that is the business of the document and passage
-operators. The spread of a line is counted by HyperLogLog sketches per line
+long (None: of any length) and stands on at least ``min_sites`` different
+sites. The spread of a line is counted by HyperLogLog sketches per line
 hash, merged by the aggregation; lines whose estimate is near the threshold
 get an exact distinct count before anything is removed. Lines seen on a single
 site only never reach the sketches: a minimum and maximum of the site name,
@@ -22,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, table, text_of
 
+#: MAX_CHARS is what op4's SQL asks for; the pipeline has no such bound.
 MIN_SITES, MAX_CHARS = 5, 200
 #: Estimates within this share of the threshold are counted exactly.
 MARGIN = 0.3
@@ -33,15 +33,16 @@ def _keys(line):
     return F.xxhash64(line), F.xxhash64(F.concat(F.lit("\x01"), line))
 
 
-def _lines(docs: DataFrame, text_col: str, site_col: str, max_chars: int, *more) -> DataFrame:
+def _lines(docs: DataFrame, text_col: str, site_col: str, max_chars: int | None, *more) -> DataFrame:
     """One row for each line that may be boilerplate, with its position."""
     split = docs.select(*more, F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"), F.posexplode(F.split(text_of(text_col), "\n")).alias("pos", "raw"))
     trimmed = F.trim("raw")
     k, k2 = _keys(trimmed)
-    return split.where((F.length(trimmed) > 0) & (F.length(trimmed) <= max_chars)).select(*["id", "th"] * bool(more), "site", "pos", k.alias("k"), k2.alias("k2"))
+    wanted = F.length(trimmed) > 0 if max_chars is None else F.length(trimmed).between(1, max_chars)
+    return split.where(wanted).select(*["id", "th"] * bool(more), "site", "pos", k.alias("k"), k2.alias("k2"))
 
 
-def boilerplate(docs: DataFrame, text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, max_chars: int = MAX_CHARS) -> DataFrame:
+def boilerplate(docs: DataFrame, text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, max_chars: int | None = MAX_CHARS) -> DataFrame:
     """Hash pairs (k, k2) of the lines that stand on ``min_sites`` sites or more."""
     # One row for each line and site, combined map-side: a line that is everywhere has no more rows than there are sites.
     lines = cut(_lines(docs, text_col, site_col, max_chars).select("k", "k2", "site").distinct())
@@ -54,7 +55,7 @@ def boilerplate(docs: DataFrame, text_col: str = "text", site_col: str = "source
 
 
 def drop_boilerplate(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, max_chars: int = MAX_CHARS
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, max_chars: int | None = MAX_CHARS
 ) -> DataFrame:
     """``docs`` with the boilerplate lines taken out of the text, and two counts: _n_lines, _n_removed."""
     th = F.xxhash64(text_of(text_col))
