@@ -568,3 +568,12 @@ def test_pipeline_takes_out_long_lines(spark):
     docs = spark.createDataFrame(data, "doc_id long, text string, source string")
     got = {r.doc_id: r.text for r in p.line_stage(spark, docs, "").collect()}
     assert len(long) > 200 and got == {i: f"own line {i}" if i < 5 else t for i, t, _ in data}
+
+
+def test_pipeline_drops_only_rows_of_a_component_that_keeps_one(spark):
+    import corpus_pipeline as p
+
+    words = lambda x: " ".join(f"{x}{k}" for k in range(60))
+    data = [(1, words("a")), (2, words("b")), (2, words("c")), (2, words("a")), (3, words("c")), (None, words("d")), (None, words("d")), (None, words("b")), (4, words("e")), (4, words("e"))]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in data], "doc_id long, text string, source string")
+    same(p.near_dedup_stage(spark, docs, "").select("doc_id", "text"), [(1, words("a")), (2, words("b")), (2, words("c")), (None, words("d")), (4, words("e"))])
