@@ -577,3 +577,12 @@ def test_pipeline_drops_only_rows_of_a_component_that_keeps_one(spark):
     data = [(1, words("a")), (2, words("b")), (2, words("c")), (2, words("a")), (3, words("c")), (None, words("d")), (None, words("d")), (None, words("b")), (4, words("e")), (4, words("e"))]
     docs = spark.createDataFrame([(i, t, "s") for i, t in data], "doc_id long, text string, source string")
     same(p.near_dedup_stage(spark, docs, "").select("doc_id", "text"), [(1, words("a")), (2, words("b")), (2, words("c")), (None, words("d")), (4, words("e"))])
+
+
+def test_guess_covers_a_value_that_a_base_span_only_begins():
+    from tracequarry.llm.secrets_scan import scan
+
+    text = 'password = "correcthorse!Zq9#tail$Long"'
+    base, more = scan(text)
+    assert [text[a:b] for a, _, b in base] == ['password = "correcthorse'] and [text[a:b] for a, _, b in more] == ["correcthorse!Zq9#tail$Long"]
+    assert scan("password = correcthorseZq9tailLong")[1] == []

@@ -1,7 +1,7 @@
 """Secret spans in whole texts: three fixed patterns, and credential values judged by their guess cost.
 
 A value in a wider credential context (a key word, an optional sign, a value)
-that the fixed patterns leave alone is segmented by dynamic programming into
+that no single span of the fixed patterns covers whole is segmented by dynamic programming into
 dictionary words, dates, repeats, keyboard walks and brute-force spans; the
 cheapest segmentation is what a guesser would need, in bits. A value that costs
 at least ``MIN_BITS`` is reported as kind ``guess``.
@@ -100,7 +100,7 @@ def scan(text: str, min_bits: float = MIN_BITS) -> tuple[list[tuple[int, int, in
     more = []
     for m in CONTEXT.finditer(text):
         a, b = m.span(1)
-        if not any(s < b and a < e for s, _, e in base) and guess_bits(m[1]) >= min_bits:
+        if not any(s <= a and b <= e for s, _, e in base) and guess_bits(m[1]) >= min_bits:
             more.append((a, 3, b))
     return base, more
 
