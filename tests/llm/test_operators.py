@@ -586,3 +586,21 @@ def test_guess_covers_a_value_that_a_base_span_only_begins():
     base, more = scan(text)
     assert [text[a:b] for a, _, b in base] == ['password = "correcthorse'] and [text[a:b] for a, _, b in more] == ["correcthorse!Zq9#tail$Long"]
     assert scan("password = correcthorseZq9tailLong")[1] == []
+
+
+def test_guess_takes_values_to_their_end_and_schemes_without_a_sign():
+    import random
+    import time
+
+    from tracequarry.llm.secrets_scan import MIN_BITS, guess_bits, scan
+
+    long = "Zq9#" * 2 + "".join(random.Random(1).choices("abcdXYZ#%&!789", k=300))
+    for text in (f"auth: {long}", f"Authorization: Bearer {long}", f"sent Bearer {long} on", f"auth: basic {long}"):
+        assert [text[a:b] for a, k, b in scan(text)[1]] == [long]
+    assert scan("the bearer certificates are here")[1] == [] and scan("pwd: " + "a" * 300)[1] == []
+    for v in ("qw" * 60, "abcabcabcabc1999", "p4ssw0rdqwerty", "Tr0ub4dor&3", "19991231aaaaaaaa", long):
+        assert (guess_bits(v, MIN_BITS) >= MIN_BITS) == (guess_bits(v) >= MIN_BITS)
+    start = time.monotonic()
+    for v in ("qw" * 50_000, "a" * 100_000, "password" * 20_000):
+        guess_bits(v, MIN_BITS)
+    assert time.monotonic() - start < 20

@@ -26,9 +26,9 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "guess")
-#: Contexts of the guess-cost search: more key words, and white space alone as the sign after some.
+#: Contexts of the guess-cost search: more key words, and white space alone as the sign after a scheme's name; a value has no upper bound.
 CONTEXT = re.compile(
-    r"""(?<![A-Za-z])(?:pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|credentials?|auth|bearer|api[_-]?key|access[_-]?key|private[_-]?key)["']?\x20*(?:[:=]|\x20is\x20|=>)\x20*["']?([^\s"',;]{6,128})""",
+    r"""(?<![A-Za-z])(?:(?:pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|credentials?|auth(?:orization)?|bearer|api[_-]?key|access[_-]?key|private[_-]?key)["']?\x20*(?:[:=]|\x20is\x20|=>)\x20*["']?(?:(?:bearer|basic)\x20+)?|bearer\x20+(?=[^\s"',;]*\d))([^\s"',;]{6,})""",
     re.ASCII | re.IGNORECASE,
 )
 MIN_BITS = 28.0
@@ -52,41 +52,59 @@ def _brute(c: str) -> float:
     return math.log2(size)
 
 
-def guess_bits(value: str) -> float:
-    """Bits of the cheapest segmentation of ``value`` by dynamic programming over its prefixes; '' costs nothing."""
+def guess_bits(value: str, enough: float = math.inf) -> float:
+    """Bits of the cheapest segmentation of ``value`` by dynamic programming over its prefixes; '' costs nothing.
+
+    Ends early, with ``enough``, once no prefix under it is left to go on from.
+    """
     n = len(value)
     low = value.lower()
+    low = low if len(low) == n else value  # a letter whose lower case is longer
     plain = low.translate(LEET)
     best = [0.0] + [math.inf] * n
-    dates: dict[int, list[int]] = {}
-    for i in range(n):
-        if value[i].isdigit() and (m := DATE.match(value, i)):
-            dates.setdefault(i, []).append(m.end())
+    walked = [-1] * (n + 1)  # the end of the keyboard walk that is the best way here
+    far = 0  # the last prefix that costs less than enough
+    unlike = [-1] * 9  # by width: the first place, from here on, that differs from the one a width later
+    walk = 0
+
     for i in range(n):
+        if far < i:
+            return enough
+        if best[i] >= enough:
+            continue
         here = best[i] + 1.0  # the choice of a segment kind
 
-        def reach(j: int, bits: float, here: float = here) -> None:
-            best[j] = min(best[j], here + bits)
+        def reach(j: int, bits: float, end: int = -1) -> None:
+            nonlocal far
+            if bits < best[j]:
+                best[j], walked[j] = bits, end
+                if bits < enough and j > far:
+                    far = j
 
-        best[i + 1] = min(best[i + 1], best[i] + _brute(value[i]))
+        reach(i + 1, best[i] + _brute(value[i]))
         for j in range(i + 2, min(n, i + _LONGEST) + 1):
             if (rank := _RANK.get(low[i:j])) is not None:
-                reach(j, math.log2(rank + 1) + (low[i:j] != value[i:j]))
+                reach(j, here + math.log2(rank + 1) + (low[i:j] != value[i:j]))
             elif (rank := _RANK.get(plain[i:j])) is not None:
-                reach(j, math.log2(rank + 1) + 2)
-        for j in dates.get(i, ()):
-            reach(j, math.log2(365 * 120) if j - i > 4 else math.log2(120))
-        j = i + 1
-        while j < n and (low[j - 1], low[j]) in _NEXT:
-            j += 1
-            if j - i >= 3:
-                reach(j, math.log2(len(_NEXT)) + math.log2(j - i))
+                reach(j, here + math.log2(rank + 1) + 2)
+        if value[i].isdigit() and (m := DATE.match(value, i)):
+            reach(m.end(), here + (math.log2(365 * 120) if m.end() - i > 4 else math.log2(120)))
+        if walk <= i:
+            walk = i + 1
+            while walk < n and (low[walk - 1], low[walk]) in _NEXT:
+                walk += 1
+        if walked[i] != walk:  # a walk cut in two costs more than the whole
+            for j in range(i + 3, walk + 1):
+                reach(j, here + math.log2(len(_NEXT)) + math.log2(j - i), walk)
         for width in range(1, min(8, (n - i) // 2) + 1):
-            unit, j = value[i : i + width], i + width
-            while value.startswith(unit, j):
-                j += width
-            if j - i >= max(3, 2 * width):
-                reach(j, sum(map(_brute, unit)) + math.log2((j - i) // width))
+            if unlike[width] < i:
+                k = i
+                while k + width < n and value[k] == value[k + width]:
+                    k += 1
+                unlike[width] = k
+            times = 1 + (unlike[width] - i) // width
+            if times > 1 and times * width >= 3:
+                reach(i + times * width, here + sum(map(_brute, value[i : i + width])) + math.log2(times))
     return best[n]
 
 
@@ -100,7 +118,7 @@ def scan(text: str, min_bits: float = MIN_BITS) -> tuple[list[tuple[int, int, in
     more = []
     for m in CONTEXT.finditer(text):
         a, b = m.span(1)
-        if not any(s <= a and b <= e for s, _, e in base) and guess_bits(m[1]) >= min_bits:
+        if not any(s <= a and b <= e for s, _, e in base) and guess_bits(m[1], min_bits) >= min_bits:
             more.append((a, 3, b))
     return base, more
 
