@@ -604,3 +604,20 @@ def test_guess_takes_values_to_their_end_and_schemes_without_a_sign():
     for v in ("qw" * 50_000, "a" * 100_000, "password" * 20_000):
         guess_bits(v, MIN_BITS)
     assert time.monotonic() - start < 20
+
+
+def test_audio_reaches_the_last_samples(spark):
+    import numpy as np
+
+    from tracequarry.llm import media as m
+
+    for n in (64, 544, 1088, 1120):
+        quiet = bytes([128]) * n
+        loud = quiet[:-8] + bytes([255, 0] * 4)
+        assert not np.array_equal(m.features(quiet)[0], m.features(loud)[0])
+    assert len(m.log_mel(np.zeros(544, np.float32))) == 2 and len(m.log_mel(np.zeros(400, np.float32))) == 1
+    docs = spark.createDataFrame([(1, "a" * 12_000), (2, "")], "doc_id long, text string")
+    got = {r.doc_id: r for r in m.audio_columns(docs).collect()}
+    short = {r.doc_id: r.feature for r in m.audio_columns(docs, with_media=False).collect()}
+    for i, r in got.items():
+        assert r.feature == short[i] and f";tensors={len(r.spans)};seconds={r.spans[-1].end:.4f};" in r.feature

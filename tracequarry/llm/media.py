@@ -86,9 +86,9 @@ def resample(samples: np.ndarray) -> np.ndarray:
 
 
 def log_mel(signal: np.ndarray) -> np.ndarray:
-    """Overlapped frames to (n_frames, MELS); a signal shorter than a frame is zero-padded to one."""
-    if len(signal) < FRAME:
-        signal = np.pad(signal, (0, FRAME - len(signal)))
+    """Overlapped frames to (n_frames, MELS); the signal is zero-padded at its end, so that its last samples lie in a frame."""
+    whole = FRAME + -(-max(0, len(signal) - FRAME) // HOP) * HOP
+    signal = np.pad(signal, (0, whole - len(signal)))
     frames = np.lib.stride_tricks.sliding_window_view(signal, FRAME)[::HOP]
     window = np.hanning(FRAME).astype(np.float32)
     out = []
@@ -149,12 +149,13 @@ def audio_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     stored = store(text + bytes(-len(text) % BLOCK or (0 if text else BLOCK)))
                     payload = load(stored)
                     mel, gates = features(payload)
+                    tensor, spans = tensors(mel)
+                    mel = tensor.to_numpy_ndarray().reshape(-1, MELS)[: len(mel)]
                     means = np.round(mel.mean(0, dtype=np.float64), 3)
                     active = sum(b - a for a, b in gates) / len(mel)
-                    summary = f"frames={len(mel)};segments={len(gates)};active={active:.4f};mel=" + ",".join(f"{x:.3f}" for x in means)
+                    summary = f"frames={len(mel)};tensors={len(spans)};seconds={spans[-1][1]:.4f};segments={len(gates)};active={active:.4f};mel=" + ",".join(f"{x:.3f}" for x in means)
                     got = [len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(stored), hashlib.sha256(stored).hexdigest(), summary, len(mel), len(gates)]
                     if with_media:
-                        tensor, spans = tensors(mel)
                         got += [stored, tensor.storage.to_pylist(), [{"start": a, "end": b} for a, b in spans], [{"start": a * step, "end": b * step} for a, b in gates]]
                     for column, x in zip(out, got, strict=True):
                         column.append(x)
