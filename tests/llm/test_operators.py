@@ -621,3 +621,19 @@ def test_audio_reaches_the_last_samples(spark):
     short = {r.doc_id: r.feature for r in m.audio_columns(docs, with_media=False).collect()}
     for i, r in got.items():
         assert r.feature == short[i] and f";tensors={len(r.spans)};seconds={r.spans[-1].end:.4f};" in r.feature
+
+
+def test_quality_learns_alike_at_every_size_and_from_distinct_texts(spark, monkeypatch):
+    import numpy as np
+
+    from tracequarry.llm import quality as m
+
+    one = (np.array([3, 5]), np.array([0.6, 0.8]), 0.3)
+    assert m.train([one] * 1999)[1] == m.train([one] * 2000)[1]
+    seen = []
+    monkeypatch.setattr(m, "TRAIN_ROWS", 40)
+    monkeypatch.setattr(m, "train", lambda examples: seen.append(examples) or (np.zeros(1 << m.BITS), 0.0))
+    data = [(k, f"{SEEDS[k % 3]} Number {k} came by." if k < 60 else SEEDS[0]) for k in range(600)]
+    m.quality(spark.createDataFrame(data, "doc_id long, text string")).count()
+    hot = m.profile(SEEDS[0].encode())[0].tolist()
+    assert sum(at.tolist() == hot for at, *_ in seen[0]) <= 1 and len(seen[0]) >= 30

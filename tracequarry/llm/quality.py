@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import cycle, islice
 from operator import eq
 
 import numpy as np
@@ -29,7 +30,9 @@ from pyspark.sql import functions as F
 from .common import cut, rows, table, texts
 
 #: Bound of the training sample in rows; bits of a trigram slot; passes over the sample where it is small.
-TRAIN_ROWS, BITS, EPOCHS = 8_000, 14, 60
+TRAIN_ROWS, BITS = 8_000, 14
+#: Training steps at any size of the sample: ten passes over a full one.
+UPDATES = 10 * TRAIN_ROWS
 #: A document is kept at this score or more.
 KEEP = 0.5
 WORDY = re.compile(rb"[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
@@ -133,15 +136,14 @@ def train(examples: list[tuple[np.ndarray, np.ndarray, float]]) -> tuple[np.ndar
     w, g = np.zeros(1 << BITS), np.full(1 << BITS, 1e-3)
     bias, gb = 0.0, 1e-3
     good = max(1e-6, sum(y for *_, y in examples) / max(1, len(examples)))
-    for _ in range(EPOCHS if len(examples) < 2000 else 10):
-        for at, v, y in examples:
-            p = 1 / (1 + np.exp(-np.clip(bias + w[at] @ v, -30, 30)))
-            d = (p - y) * (0.5 / good * y + 0.5 / max(1e-6, 1 - good) * (1 - y))
-            step = d * v
-            g[at] += step * step
-            w[at] -= 0.3 * step / np.sqrt(g[at])
-            gb += d * d
-            bias -= 0.3 * d / np.sqrt(gb)
+    for at, v, y in islice(cycle(examples), UPDATES):
+        p = 1 / (1 + np.exp(-np.clip(bias + w[at] @ v, -30, 30)))
+        d = (p - y) * (0.5 / good * y + 0.5 / max(1e-6, 1 - good) * (1 - y))
+        step = d * v
+        g[at] += step * step
+        w[at] -= 0.3 * step / np.sqrt(g[at])
+        gb += d * d
+        bias -= 0.3 * d / np.sqrt(gb)
     return w, float(bias)
 
 
@@ -163,11 +165,11 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         return keyed.select(F.col("id").alias(id_col), F.lit("").alias("votes"), F.lit(0.0).alias("posterior"), F.lit(0.0).alias("score"), F.lit(True).alias("kept"))
     share, accuracies = expectation_maximisation(patterns)
     soft = dict(zip(patterns, posterior(np.array(list(patterns)), share, accuracies).tolist(), strict=True))
-    total = sum(patterns.values())
-    # The sample: the lowest hashes of the texts, cut at a share that leaves about TRAIN_ROWS rows, then at the bound itself.
-    bound = min((1 << 63) - 1, int(min(1.0, 1.2 * TRAIN_ROWS / total) * (1 << 64)) - (1 << 63))
     h = F.xxhash64(F.coalesce(F.col("t"), F.lit("")))
-    chosen = keyed.withColumn("h", h).where(F.col("h") <= F.lit(bound).cast("long")).select("h", "t").orderBy("h").limit(TRAIN_ROWS)
+    total = max(1, keyed.agg(F.approx_count_distinct(h, 0.02)).first()[0])
+    # The sample: the lowest hashes of the distinct texts, cut at a share that leaves about TRAIN_ROWS of them, then at the bound itself.
+    bound = min((1 << 63) - 1, int(min(1.0, 1.2 * TRAIN_ROWS / total) * (1 << 64)) - (1 << 63))
+    chosen = keyed.withColumn("h", h).where(F.col("h") <= F.lit(bound).cast("long")).select("h", "t").dropDuplicates(["h"]).orderBy("h").limit(TRAIN_ROWS)
 
     def profiled(batches):
         for whole in batches:
