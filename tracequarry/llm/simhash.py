@@ -4,15 +4,20 @@ Every bit position gets a non-zero code of RADIUS + 1 bits; table v keeps the
 positions whose code is orthogonal to v over GF(2). Two fingerprints that
 differ in at most RADIUS positions leave, over all v, at least one non-zero v
 orthogonal to all those codes, so they agree on some table's whole mask: no
-pair within the radius is missed. Fingerprints, not rows, are linked; rows take
-the component of their fingerprint. Components come from alternating large-star
-and small-star steps over checkpointed edges.
+pair within the radius is missed. A bucket of more than BUCKET fingerprints is
+parted by a covering family over the positions that its mask leaves out, with
+the same guarantee inside it, again and again: four levels leave at most seven
+positions open, so no bucket stays larger than 128 and pairs are only formed
+inside such buckets. Fingerprints, not rows, are linked; rows take the component
+of their fingerprint. Components come from alternating large-star and
+small-star steps over checkpointed edges.
 
 Defined cases: null and empty texts, and texts without words, have fingerprint
 zero and are linked like any other; texts of fewer words than a shingle are one
 shingle; ties (exactly half the hashes) leave a bit 0; repeated rows share a
 fingerprint; a null id is kept out of the smallest id unless alone; an empty
-table gives an empty result; extra columns are ignored.
+table gives an empty result; extra columns are ignored, whatever their names; a
+very long text is read PIECE bytes at a time (a single word is held whole).
 """
 
 from __future__ import annotations
@@ -23,35 +28,37 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_ASCII, cut, rows, table, texts
+from .common import BROADCAST_ROWS, LOWER_ASCII, cut, rows, table, texts, word_pieces
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
-#: Hashes summed at a time, for bounded memory on very long texts.
-CHUNK = 1 << 16
+#: Fingerprints in a bucket that are compared pair by pair; more are parted first.
+BUCKET = 128
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """Words are runs of bytes other than ASCII white space, with A-Z lowered."""
-    w = text.translate(LOWER_ASCII).split()
-    if not w:
-        return 0
-    n = max(1, len(w) - shingle + 1)
-    if n == 1:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(w), seed)]
-    else:
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(b" ".join(s), seed) for s in zip(*(w[k:] for k in range(shingle)), strict=False)]
-    counts = np.zeros(64, np.int64)
-    for k in range(0, n, CHUNK):
-        part = np.array(hashes[k : k + CHUNK], np.uint64).byteswap().view(np.uint8).reshape(-1, 8)
-        counts += np.unpackbits(part, axis=1).sum(0, dtype=np.int64)
+    counts, n, held = np.zeros(64, np.int64), 0, []
+    digest = xxhash.xxh64_intdigest
+    for piece in word_pieces(text):
+        w = held + piece.translate(LOWER_ASCII).split()
+        if len(w) >= shingle:
+            hashes = np.array([digest(b" ".join(s), seed) for s in zip(*(w[k:] for k in range(shingle)), strict=False)], np.uint64)
+            bits = np.unpackbits(hashes.byteswap().view(np.uint8).reshape(-1, 8), axis=1)
+            counts += bits.sum(0, dtype=np.int64)
+            n += len(hashes)
+            held = w[len(w) - shingle + 1 :]
+        else:
+            held = w
+    if not n:
+        return digest(b" ".join(held), seed) if held else 0
     return int("".join("1" if 2 * c > n else "0" for c in counts.tolist()), 2)
 
 
-def masks(radius: int = RADIUS) -> list[int]:
-    """The 2**(radius + 1) - 1 bit masks of the covering family over 64 positions."""
-    codes = [1 + k % ((1 << radius + 1) - 1) for k in range(64)]
-    return [sum(1 << k for k, c in enumerate(codes) if (c & v).bit_count() % 2 == 0) for v in range(1, 1 << radius + 1)]
+def masks(radius: int = RADIUS, taken: int = 0) -> list[int]:
+    """The 2**(radius + 1) - 1 bit masks of the covering family over the positions that are not in ``taken``, each with ``taken``."""
+    free = [k for k in range(64) if not taken >> k & 1]
+    codes = [1 + k % ((1 << radius + 1) - 1) for k in range(len(free))]
+    return [taken | sum(1 << k for k, c in zip(free, codes, strict=True) if (c & v).bit_count() % 2 == 0) for v in range(1, 1 << radius + 1)]
 
 
 def _signed(x: int) -> int:
@@ -71,30 +78,40 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.selectExpr(f"`{id_col}` id", f"cast(`{text_col}` as string) t").mapInArrow(run, f"id {kind}, fp long")
 
 
-def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Pairs a < b of distinct fingerprints within ``radius`` differing bits, each once.
-
-    A pair is reported by the first table on whose mask it agrees, so nothing
-    has to be made distinct afterwards.
-    """
-    family = [_signed(m) for m in masks(radius)]
-    tagged = distinct.select("fp", F.posexplode(F.array(*[F.lit(m).cast("long") for m in family])).alias("t", "m")).select("t", F.col("fp").bitwiseAND(F.col("m")).alias("key"), "fp")
-    # A bucket of one can't link: counted first, combined map-side.
-    shared = tagged.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("t", "key")
-    left = tagged.join(shared, ["t", "key"], "left_semi")
-    pairs = left.select("t", "key", F.col("fp").alias("a")).join(left.select("t", "key", F.col("fp").alias("b")), ["t", "key"])
-    differ = F.col("a").bitwiseXOR(F.col("b"))
-    earlier = F.lit(False)
-    for k, m in enumerate(family):
-        earlier = earlier | ((F.lit(k) < F.col("t")) & (differ.bitwiseAND(F.lit(m).cast("long")) == 0))
-    return pairs.where((F.col("a") < F.col("b")) & (F.bit_count(differ) <= radius) & ~earlier).select("a", "b")
+def links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+    """Pairs a < b of distinct fingerprints within ``radius`` differing bits, each once."""
+    spark = distinct.sparkSession
+    masked = [0]
+    members = distinct.select("fp", F.lit(0).cast("long").alias("mask"))
+    found = None
+    while members is not None:
+        # A table of (2**(radius + 1) - 1)**level masks, whatever the data.
+        parted = {m: masks(radius, m) for m in masked}
+        masked = sorted({x for own in parted.values() for x in own})
+        family = F.broadcast(spark.createDataFrame([(_signed(m), [_signed(x) for x in own]) for m, own in parted.items()], "mask long, inner array<long>"))
+        tagged = members.join(family, "mask").select("fp", F.explode("inner").alias("mask")).select("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("key"), "fp")
+        # A bucket of one can't link: counted first, combined map-side.
+        sizes = cut(tagged.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+        all_fit = 1 << max(64 - m.bit_count() for m in masked) <= bucket
+        few = sizes if all_fit else sizes.where(F.col("n") <= bucket)
+        left = tagged.join(few, ["mask", "key"], "left_semi")
+        pairs = left.select("mask", "key", F.col("fp").alias("a")).join(left.select("mask", "key", F.col("fp").alias("b")), ["mask", "key"])
+        near = pairs.where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)).select("a", "b")
+        found = near if found is None else found.unionByName(near)
+        crowded = None if all_fit else sizes.where(F.col("n") > bucket)
+        members = None
+        if crowded is not None and not crowded.isEmpty():
+            members = cut(tagged.join(crowded.select("mask", "key"), ["mask", "key"], "left_semi").select("fp", "mask").distinct())
+    return found.distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root: the smallest node that each node of ``edges`` (a, b) reaches.
 
     Large-star then small-star until the edges stop changing; each round is cut
-    by a checkpoint, and only counts and hash sums reach the driver.
+    by a checkpoint, and only counts and hash sums reach the driver. The least
+    neighbours come to the edges by broadcast while those are few; beyond that
+    they are cut, so that the join can split the many edges of one star.
     """
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
     seen = None
@@ -103,10 +120,12 @@ def components(edges: DataFrame) -> DataFrame:
         if (state.n, state.s) == seen or not state.n:
             break
         seen = (state.n, state.s)
+        # There are two ends to an edge at most.
+        dealt = F.broadcast if 2 * state.n <= BROADCAST_ROWS else cut
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = dealt(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = dealt(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select("u", "v", "m")
         e = cut(small.select("u", F.col("m").alias("v")).union(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct())
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -119,7 +138,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(links(groups.select("fp"), radius))
     # Few fingerprints are linked; the others are their own component.
     grouped = groups.join(roots, groups.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
+    smallest = cut(grouped.groupBy("root").agg(F.min("least").alias("component_id")))
     class_of = grouped.join(smallest, "root").select("fp", "component_id")
     return marked.join(class_of, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
