@@ -81,10 +81,12 @@ class WaveletTree:
     def __init__(self, symbols: np.ndarray, bits: int):
         self.bits, self.ones, self.zeros = bits, [], []
         for b in range(bits - 1, -1, -1):
-            bit = (symbols >> b) & 1
-            self.ones.append(np.concatenate([[0], np.cumsum(bit)]).astype(np.int32))
-            self.zeros.append(int(len(symbols) - bit.sum()))
-            symbols = np.concatenate([symbols[bit == 0], symbols[bit == 1]])
+            bit = symbols & symbols.dtype.type(1 << b) != 0
+            ones = np.zeros(len(symbols) + 1, np.int32)
+            np.cumsum(bit, out=ones[1:], dtype=np.int32)
+            self.ones.append(ones)
+            self.zeros.append(len(symbols) - int(ones[-1]))
+            symbols = np.concatenate([symbols[~bit], symbols[bit]])
         #: Where the block of each symbol begins once all planes have split the sequence.
         self.block = np.zeros(1 << bits, np.int64)
         present, first = np.unique(symbols, return_index=True)
