@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -39,20 +39,22 @@ def checkpoint_divergence(events: DataFrame) -> DataFrame:
     return rows.join(first, ["session", "ckpt_seq"]).where("state_hash <> hash_a").select("session", "idx", "ckpt_seq", "hash_a", F.col("state_hash").alias("hash_b"))
 
 
-def unsafe_continuations(events: DataFrame, gaps: DataFrame, divergence: DataFrame, compaction_triggers: bool = True) -> DataFrame:
+def unsafe_continuations(events: DataFrame, gaps: DataFrame, divergence: DataFrame, compaction_triggers: bool | Column = True) -> DataFrame:
     """SL203: one row a session: the least trigger with a tool event after it, what caused it, and that event.
 
-    A boundary triggers when the next tool event comes before the next checkpoint.
+    A boundary triggers when the next tool event comes before the next checkpoint,
+    in the records for which ``compaction_triggers`` holds: a format that writes
+    no checkpoints after a compaction can't be asked for one.
     """
     after = W.partitionBy("session").orderBy("idx").rowsBetween(1, W.unboundedFollowing)
     next_tool = F.min(F.when(F.col("kind").isin(*TOOL), F.col("idx"))).over(after)
     next_check = F.min(F.when(F.col("kind") == "checkpoint", F.col("idx"))).over(after)
-    walked = events.select("session", "idx", "kind", next_tool.alias("tool"), next_check.alias("check"))
+    asked = compaction_triggers if isinstance(compaction_triggers, Column) else F.lit(compaction_triggers)
+    walked = events.select("session", "idx", "kind", next_tool.alias("tool"), next_check.alias("check"), asked.alias("asked"))
     triggers = gaps.select("session", "idx", F.lit("SL201").alias("cause")).unionByName(divergence.select("session", "idx", F.lit("SL202").alias("cause"))).distinct()
     found = walked.join(triggers, ["session", "idx"]).select("session", "idx", "cause", "tool")
-    if compaction_triggers:
-        bare = walked.where("kind = 'compaction_boundary' and tool is not null and (check is null or tool < check)")
-        found = found.unionByName(bare.select("session", "idx", F.lit("compaction").alias("cause"), "tool"))
+    bare = walked.where("asked and kind = 'compaction_boundary' and tool is not null and (check is null or tool < check)")
+    found = found.unionByName(bare.select("session", "idx", F.lit("compaction").alias("cause"), "tool"))
     least = found.where("tool is not null").groupBy("session").agg(F.min(F.struct("idx", "tool")).alias("m"), F.array_join(F.sort_array(F.collect_set("cause")), ",").alias("caused_by"))
     return least.select("session", F.col("m.idx").alias("trigger_index"), F.col("m.tool").alias("first_unsafe_index"), "caused_by")
 
@@ -111,6 +113,12 @@ def durable_prefix(records: DataFrame) -> DataFrame:
     return beyond.unionByName(gaps.select("session", F.lit("hole").alias("divergence"), "ordinal", "n"))
 
 
+def missing_fields(items: DataFrame) -> DataFrame:
+    """SL206: reasoning items without the field that others of the session carry (session, ordinal, present)."""
+    per = items.where("present is not null").groupBy("session").agg(F.sum((~F.col("present")).cast("long")).alias("n"), F.max("present").alias("some"), F.min(F.when(~F.col("present"), F.col("ordinal"))).alias("ordinal"))
+    return per.where("some and n > 0").select("session", F.lit("missing_required_field").alias("divergence"), "ordinal", "n")
+
+
 def context_pressure(marks: DataFrame) -> DataFrame:
     """SL207: the last declared occupancy leaves less than 15 % of the window (session, idx, occupancy, window_limit)."""
     last = marks.where("occupancy is not null and window_limit is not null").groupBy("session").agg(F.max(F.struct("idx", "occupancy", "window_limit")).alias("m"))

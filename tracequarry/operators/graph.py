@@ -28,10 +28,13 @@ SETTLED = "session string, id string, idx long, parent_id string, has_parent boo
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the cluster's shared folder (a folder of our own only where none is named)."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "tracequarry-checkpoints"))
+    """A checkpoint in the cluster's shared folder; a folder of our own only where none is named and everything runs in one process."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "tracequarry-checkpoints"))
     return df.checkpoint(eager=True)
 
 

@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..schema import TIMESTAMP_SKEW_MS
+from ..schema import CONTENT, TIMESTAMP_SKEW_MS
 
 
-def duplicate_ids(events: DataFrame, id_col: str = "id", content: tuple[str, ...] = ("kind", "actor", "payload_hash")) -> DataFrame:
-    """SL003: ids that occur twice; identical when all content columns agree, null being a value of its own."""
+def duplicate_ids(events: DataFrame, id_col: str = "id", content: tuple[str, ...] | None = None) -> DataFrame:
+    """SL003: ids that occur twice; identical when all content columns agree (those of CONTENT that are there, unless given), null being a value of its own."""
+    content = content or tuple(c for c in CONTENT if c in events.columns)
     filled = [F.coalesce(F.col(c).cast("string"), F.lit("\0")).alias(c) for c in content]
     rows = events.where(F.length(F.trim(F.col(id_col))) > 0).select("session", F.col(id_col).alias("id"), "idx", *filled)
     differs = [(F.min(c) != F.max(c)).alias(c) for c in content]

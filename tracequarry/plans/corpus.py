@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.graph import cut
 from ..schema import CAPS, SEVERITIES, severity_rank
 
 
@@ -18,13 +19,18 @@ def histograms(events: DataFrame) -> DataFrame:
 def nearest_rank(values: DataFrame, column: str, quantiles: dict[str, float]) -> DataFrame:
     """A2: sorted[min(int(q * n), n - 1)] for each quantile, with maximum, total and count, in one row.
 
-    Equal values are counted first, so the one ordered window runs over distinct values.
+    Equal values are counted first and dealt by range; running sums are taken
+    inside the ranges, and over the ranges from one small row each.
     """
     counted = values.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    parts = counted.select("v", "c", F.sum("c").over(W.orderBy("v")).alias("upto"), F.sum("c").over(W.partitionBy()).alias("n"))
+    ranged = cut(counted.repartitionByRange("v").withColumn("p", F.spark_partition_id()))
+    parts = ranged.groupBy("p").agg(F.sum("c").alias("held"))  # a row for each partition
+    before = parts.select("p", (F.sum("held").over(W.orderBy("p")) - F.col("held")).alias("before"), F.sum("held").over(W.partitionBy()).alias("n"))
+    within = F.sum("c").over(W.partitionBy("p").orderBy("v"))
+    placed = ranged.withColumn("within", within).join(F.broadcast(before), "p").withColumn("upto", F.col("within") + F.col("before"))
     rank = lambda q: F.least(F.floor(F.lit(q) * F.col("n")), F.col("n") - 1)
     picks = [F.min(F.when(F.col("upto") > rank(q), F.col("v"))).alias(name) for name, q in quantiles.items()]
-    return parts.agg(*picks, F.max("v").alias("max"), F.sum(F.col("v") * F.col("c")).alias("total"), F.max("n").alias("n"))
+    return placed.agg(*picks, F.max("v").alias("max"), F.sum(F.col("v") * F.col("c")).alias("total"), F.max("n").alias("n"))
 
 
 def top_values(events: DataFrame, column: Column, k: int = 100) -> DataFrame:
@@ -44,6 +50,13 @@ def verdicts(sessions: DataFrame, findings: DataFrame) -> DataFrame:
     return j.select("session", verdict.alias("verdict"), F.coalesce("errors", F.lit(0)).alias("errors"), F.coalesce("warnings", F.lit(0)).alias("warnings"))
 
 
+def watch_verdicts(per_session: DataFrame, findings: DataFrame) -> DataFrame:
+    """Verdicts as a watch tells them: a healthy file with findings of any kind is ``warnings``."""
+    some = findings.select("session").distinct().withColumn("some", F.lit(True))
+    told = F.when((F.col("verdict") == "healthy") & F.coalesce("some", F.lit(False)), "warnings").otherwise(F.col("verdict"))
+    return per_session.join(some, "session", "left").select("session", told.alias("verdict"))
+
+
 def assurance(per_session: DataFrame) -> Column:
     """A0 to A3 from the verdict row; A4 needs the reference comparison on top."""
     return F.when(F.col("verdict").isin("unreadable", "unsupported"), "A0").when(F.col("errors") > 0, "A1").when(F.col("warnings") > 0, "A2").otherwise("A3")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import checkpoint, compatibility, graph, identity, pairing
+from ..operators.graph import cut
 from ..schema import CODES, TIMESTAMP_SKEW_MS, as_findings
 from ..sources import files as source
 from ..sources.formats import FOREIGN
@@ -41,20 +42,26 @@ def run(parts: dict[str, DataFrame], profile: Profile = NEUTRAL) -> dict[str, Da
     """findings, coverage, verdicts of ``sources.files.split`` tables. A family that is switched off is not built at all."""
     on = profile.enabled
     every = parts["events"]
-    unsupported = compatibility.unsupported_versions(every, list(profile.supported_versions)) if profile.supported_versions is not None else None
+    if profile.supported_versions is not None:
+        unsupported = compatibility.unsupported_versions(every, list(profile.supported_versions))
+    else:
+        declared = parts["files"].select("session", "format", F.lit(1).cast("long").alias("line"), F.col("facts")["version"].alias("version"))
+        # A canonical header names its schema there; only a plain number is a version.
+        declared = declared.where((F.col("format") == "openai-agents") | ((F.col("format") == "canonical") & F.col("version").rlike("^[vV]?[0-9]")))
+        unsupported = compatibility.outside_builtin(every.where("format = 'claude-code-jsonl'").select("session", "format", "line", "version").unionByName(declared))
+    unsupported = cut(unsupported)
     # Version-gated sessions take no further part.
-    e = every if unsupported is None else every.join(unsupported.select("session").distinct(), "session", "left_anti")
+    e = every.join(unsupported.select("session"), "session", "left_anti")
     out: list[tuple[str, DataFrame]] = []
 
     def add(code: str, build, idx=None, record=None, **more) -> None:
         if code in on:
             out.append((code, as_findings(code, build(), idx, record, **more)))
 
-    settled = graph.settle(e).persist() if on & {"SL005", "SL006", "SL106", "SL205"} else None
+    settled = cut(graph.settle(e)) if on & {"SL005", "SL006", "SL106", "SL205"} else None
     pairs = pairing.clean_pairs(pairing.with_prefix_counts(e)) if on & {"SL105", "SL106", "SL107", "SL108"} else None
     not_rollout = F.col("format") != ROLLOUT
-    if unsupported is not None:
-        add("SL301", lambda: unsupported, "line")
+    add("SL301", lambda: unsupported, "line")
     add("SL003", lambda: identity.duplicate_ids(e), "first_index", "id", severity=F.when(F.col("identical"), "warning").otherwise("error"), repairability=F.when(F.col("identical"), "deterministic").otherwise("manual"))
     add("SL004", lambda: identity.missing_parents(e), "idx", "id")
     add("SL005", lambda: graph.cycles(settled), None, "entry")
@@ -75,13 +82,16 @@ def run(parts: dict[str, DataFrame], profile: Profile = NEUTRAL) -> dict[str, Da
     gaps, apart = checkpoint.checkpoint_gaps(e, profile.sensitivity), checkpoint.checkpoint_divergence(e)
     add("SL201", lambda: gaps, "idx")
     add("SL202", lambda: apart, "idx")
-    add("SL203", lambda: checkpoint.unsafe_continuations(e.where(not_rollout), gaps, apart), "first_unsafe_index")
+    # These two formats write no checkpoints after a compaction, so the lack of one says nothing.
+    add("SL203", lambda: checkpoint.unsafe_continuations(e, gaps, apart, ~F.col("format").isin("claude-code-jsonl", ROLLOUT)), "first_unsafe_index")
     add("SL204", lambda: checkpoint.usage_arithmetic(e), "idx")
     add("SL205", lambda: checkpoint.coverage_gaps(e, settled), "idx", "boundary_id")
     extra = lambda path: F.get_json_object("extra", path)
     rollout = e.where(~not_rollout)
     claims = parts["files"].select("session", F.col("facts")["claim"].cast("long").alias("claimed"))
-    add("SL206", lambda: checkpoint.durable_prefix(rollout.select("session", "ordinal", (extra("$.durable") == "true").alias("durable")).join(claims, "session", "left")))
+    durable = rollout.select("session", "ordinal", (extra("$.durable") == "true").alias("durable")).join(claims, "session", "left")
+    reasoning = rollout.select("session", "ordinal", extra("$.encrypted").cast("boolean").alias("present"))
+    add("SL206", lambda: checkpoint.durable_prefix(durable).unionByName(checkpoint.missing_fields(reasoning)))
     add("SL207", lambda: checkpoint.context_pressure(rollout.select("session", "idx", extra("$.occupancy").cast("long").alias("occupancy"), extra("$.window_limit").cast("long").alias("window_limit"))), "idx")
     item = F.explode(F.from_json(extra("$.items"), "array<struct<id:string,type:string,corr:string>>")).alias("i")
     boundary = rollout.where("kind = 'compaction_boundary'").select("session", F.col("idx").alias("boundary_index"), item)
@@ -96,24 +106,32 @@ def run(parts: dict[str, DataFrame], profile: Profile = NEUTRAL) -> dict[str, Da
     add("SL305", lambda: compatibility.foreign_shapes(shapes), "first_ordinal")
     add("SL401", lambda: compatibility.unresolved_links(parts["links"], source.link_keys(parts)).withColumnRenamed("file", "session"), severity=F.when(F.col("resolution") == "unresolved", "info").otherwise("warning"))
     reader = parts["findings"].where(F.col("code").isin(*on)).select("session", "code", "severity", F.lit("manual").alias("repairability"), "idx", "record_id", F.array().cast("array<string>").alias("related_ids"), "evidence")
-    findings = reader
+    findings = reader.where("code <> 'SL306'").unionByName(_metadata(reader.where("code = 'SL306'")))
     for _, df in out:
         findings = findings.unionByName(df)
     if profile.severities:
         chosen = F.create_map(*[F.lit(x) for kv in profile.severities.items() for x in kv])
         findings = findings.withColumn("severity", F.coalesce(chosen[F.col("code")], F.col("severity")))
+    findings = cut(findings)
     gates = parts["files"].select("session", F.col("facts")["gate"].alias("gate"))
     v = corpus.verdicts(parts["files"], findings).join(gates, "session")
     verdict = F.when(F.col("gate").isin("unsupported", "live-db"), "unsupported").when(F.col("gate") == "oversize", "skipped").when(F.col("gate").isin("unreadable", "empty"), "unreadable").otherwise(F.col("verdict"))
     verdicts = v.select("session", verdict.alias("verdict"), "errors", "warnings", F.coalesce("gate", F.lit("")).alias("reason"))
-    return {"findings": findings, "verdicts": verdicts, "coverage": coverage(parts, on, unsupported)}
+    # Verdicts count every finding; of each code a session lists so many, and how many more there were.
+    return {"findings": corpus.capped(findings), "verdicts": verdicts, "coverage": coverage(parts, on, unsupported)}
 
 
-def coverage(parts: dict[str, DataFrame], enabled: frozenset[str], unsupported: DataFrame | None) -> DataFrame:
+def _metadata(rows: DataFrame) -> DataFrame:
+    """SL306: one finding for each unknown type of a session, the types beyond the first 32 together."""
+    typed = rows.select("session", F.col("idx").alias("line"), F.get_json_object("evidence", "$.type_value").alias("record_type"), F.lit(False).alias("semantic"))
+    return as_findings("SL306", compatibility.unknown_metadata(typed, []), "first_line")
+
+
+def coverage(parts: dict[str, DataFrame], enabled: frozenset[str], unsupported: DataFrame) -> DataFrame:
     """session, code, state: performed, or the first reason it wasn't: disabled, cap-exceeded, empty-input, version-gated."""
     seen = parts["events"].select("session").distinct().withColumn("has", F.lit(True))
     f = parts["files"].select("session", F.col("facts")["gate"].alias("gate")).join(seen, "session", "left")
-    f = f.join(unsupported.select("session", F.lit(True).alias("gated")), "session", "left") if unsupported is not None else f.withColumn("gated", F.lit(False))
+    f = f.join(unsupported.select("session", F.lit(True).alias("gated")), "session", "left")
     state = F.when(~F.col("enabled"), "disabled").when(F.col("gate") == "oversize", "cap-exceeded").when(F.col("has").isNull(), "empty-input").when(F.coalesce("gated", F.lit(False)), "version-gated").otherwise("performed")
     # One row for each of the 35 codes of a file: the registry is exploded, not joined.
     every = f.withColumn("c", F.explode(F.array(*[F.struct(F.lit(c).alias("code"), F.lit(c in enabled).alias("enabled")) for c, *_ in CODES])))

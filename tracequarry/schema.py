@@ -56,6 +56,8 @@ CODES = (
     ("SL401", "warning", "manual", "linkage"),
     ("SL402", "warning", "manual", "linkage"),
 )
+#: What two records of one id must share to be the same record: everything but their place (idx, line, size, seq).
+CONTENT = ("kind", "actor", "parent_id", "ts_ms", "corr", "branch_id", "interaction_id", "agent_id", "execution_state", "side_effects", "payload_hash")
 SEVERITIES = ("fatal", "error", "warning", "info")
 VERDICTS = ("healthy", "invalid", "unsupported", "unreadable", "skipped")
 SEVERITY_OF = {c: s for c, s, _, _ in CODES}
