@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -132,34 +135,62 @@ def equivalent(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
 
 # --- seal ledger ---
 
+#: What the first entry of a ledger is bound to.
+GENESIS = "0" * 64
+
 
 def entry_hash(prev: Column, seq: Column, body: Column) -> Column:
-    return F.sha2(F.concat_ws("|", F.coalesce(prev, F.lit("")), seq.cast("string"), body), 256)
+    return F.sha2(F.concat_ws("|", prev, seq.cast("string"), body), 256)
 
 
-def seal(rows: DataFrame) -> DataFrame:
-    """A ledger with hashes of each entry alone (ledger, seq, body): the chain links an entry to the hash of the one before.
+def seal(rows: DataFrame, heads: DataFrame | None = None) -> DataFrame:
+    """A ledger (ledger, line, body) sealed as a chain: each entry's hash covers the one before, its number and the hash of its body.
 
-    Hashing along a chain is sequential; here the entry's hash covers the body
-    hash of its predecessor, which a window can see, so ledgers of any length
-    are sealed and verified in one exchange.
+    A chain is made one entry after the other, so a ledger is read in order by
+    one task, which holds a hash and no more. ``heads`` (ledger, seq,
+    entry_sha256) are the last entries of ledgers that are carried on.
     """
-    w = W.partitionBy("ledger").orderBy("seq")
-    own = rows.withColumn("body_sha256", F.sha2("body", 256))
-    prev = F.lag("body_sha256").over(w)
-    return own.withColumn("prev_sha256", F.coalesce(prev, F.lit(""))).withColumn("entry_sha256", entry_hash(F.coalesce(prev, F.lit("")), F.col("seq"), F.col("body_sha256")))
+    kind = rows.schema["ledger"].dataType.simpleString()
+    keyed = rows.select("ledger", "line", "body", F.sha2(F.col("body"), 256).alias("body_sha256"))
+    if heads is not None:
+        keyed = keyed.join(heads.select("ledger", F.col("seq").alias("from_seq"), F.col("entry_sha256").alias("from_sha256")), "ledger", "left")
+    else:
+        keyed = keyed.withColumns({"from_seq": F.lit(None).cast("long"), "from_sha256": F.lit(None).cast("string")})
+
+    def run(batches):
+        at, seq, prev = object(), 0, GENESIS
+        for batch in batches:
+            seqs, prevs, entries = [], [], []
+            for ledger, body, start, head in zip(*(batch.column(c).to_pylist() for c in ("ledger", "body_sha256", "from_seq", "from_sha256")), strict=True):
+                if ledger != at:
+                    at, seq, prev = ledger, start or 0, head or GENESIS
+                seq += 1
+                entry = hashlib.sha256(f"{prev}|{seq}|{body or ''}".encode()).hexdigest()
+                seqs.append(seq)
+                prevs.append(prev)
+                entries.append(entry)
+                prev = entry
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(seqs, pa.int64()), pa.array(prevs, pa.string()), pa.array(entries, pa.string())], ["ledger", "line", "body", "body_sha256", "seq", "prev_sha256", "entry_sha256"])
+
+    dealt = keyed.select("ledger", F.col("line").cast("long").alias("line"), "body", "body_sha256", "from_seq", "from_sha256").repartition("ledger").sortWithinPartitions("ledger", "line")
+    return dealt.mapInArrow(run, f"ledger {kind}, line long, body string, body_sha256 string, seq long, prev_sha256 string, entry_sha256 string")
 
 
 def verify_seal(entries: DataFrame) -> DataFrame:
-    """The first divergence of each ledger, by line: malformed-line, bad-schema, seq-gap, chain-break or hash-mismatch."""
+    """The first divergence of each ledger, by line: malformed-line, bad-schema, seq-gap, chain-break or hash-mismatch.
+
+    An entry is bound to the hash of the one before, so each is checked with its
+    neighbour alone, and a change anywhere shows at the next entry.
+    """
     w = W.partitionBy("ledger").orderBy("line")
-    seen = entries.select("*", F.lag("seq").over(w).alias("_seq"), F.lag("body_sha256").over(w).alias("_body"), F.row_number().over(w).alias("_n"))
+    seen = entries.select("*", F.lag("seq").over(w).alias("_seq"), F.lag("entry_sha256").over(w).alias("_entry"), F.row_number().over(w).alias("_n"))
+    body = F.sha2(F.col("body"), 256) if "body" in entries.columns else F.col("body_sha256")
     kind = (
         F.when(F.col("seq").isNull() & F.col("body_sha256").isNull(), "malformed-line")
-        .when(F.col("seq").isNull() | F.col("body_sha256").isNull() | F.col("entry_sha256").isNull(), "bad-schema")
-        .when((F.col("_n") > 1) & (F.col("seq") != F.col("_seq") + 1), "seq-gap")
-        .when(F.coalesce("prev_sha256", F.lit("")) != F.coalesce("_body", F.lit("")), "chain-break")
-        .when(entry_hash(F.coalesce("prev_sha256", F.lit("")), F.col("seq"), F.col("body_sha256")) != F.col("entry_sha256"), "hash-mismatch")
+        .when(F.col("seq").isNull() | F.col("body_sha256").isNull() | F.col("entry_sha256").isNull() | F.col("prev_sha256").isNull(), "bad-schema")
+        .when(F.col("seq") != F.when(F.col("_n") == 1, F.lit(1)).otherwise(F.col("_seq") + 1), "seq-gap")
+        .when(F.col("prev_sha256") != F.when(F.col("_n") == 1, F.lit(GENESIS)).otherwise(F.coalesce("_entry", F.lit(""))), "chain-break")
+        .when((F.coalesce(body, F.lit("")) != F.coalesce("body_sha256", F.lit(""))) | (entry_hash(F.col("prev_sha256"), F.col("seq"), F.coalesce("body_sha256", F.lit(""))) != F.col("entry_sha256")), "hash-mismatch")
     )
     bad = seen.withColumn("kind", kind).where("kind is not null")
     return bad.groupBy("ledger").agg(F.min(F.struct("line", "kind")).alias("m")).select("ledger", F.col("m.line").alias("line"), F.col("m.kind").alias("kind"))

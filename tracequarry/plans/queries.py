@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import changes, checkpoint, compatibility, graph, identity, outcome, pairing
-from ..schema import as_findings
-from . import corpus, derived
+from ..schema import CODES, as_findings
+from ..sources import files
+from . import corpus, derived, repairs, runner
 from .derived import EV
 
 Q: dict = {}
@@ -39,6 +40,15 @@ def ev(spark: SparkSession, d: str) -> DataFrame:
             CASE WHEN count(DISTINCT payload_hash) > 1 THEN 'payload_hash' END) AS differing_fields
   FROM ev GROUP BY ALL HAVING count(*) > 1""".replace("GROUP BY ALL", "GROUP BY session, dup_id"))
 def sl003_duplicate_ids(spark, d):
+    return identity.duplicate_ids(ev(spark, d), "dup_id", ("kind", "actor", "payload_hash"))
+
+
+@query("""SELECT session, dup_id AS id, count(*) AS n, min(idx) AS first_index, false AS identical,
+  concat_ws(',', CASE WHEN count(DISTINCT actor) > 1 THEN 'actor' END, CASE WHEN count(DISTINCT coalesce(branch_id, '-')) > 1 THEN 'branch_id' END, CASE WHEN count(DISTINCT coalesce(corr, '-')) > 1 THEN 'corr' END,
+            CASE WHEN count(DISTINCT kind) > 1 THEN 'kind' END, CASE WHEN count(DISTINCT coalesce(parent_id, '')) > 1 THEN 'parent_id' END, CASE WHEN count(DISTINCT payload_hash) > 1 THEN 'payload_hash' END,
+            CASE WHEN count(DISTINCT ts_ms) > 1 THEN 'ts_ms' END) AS differing_fields
+  FROM ev GROUP BY session, dup_id HAVING count(*) > 1""")
+def sl003_all_fields(spark, d):
     return identity.duplicate_ids(ev(spark, d), "dup_id")
 
 
@@ -369,8 +379,8 @@ def sl402_index(spark, d):
 
 
 def findings(spark: SparkSession, d: str) -> DataFrame:
-    """The findings of the detectors that the corpus queries roll up."""
-    e = ev(spark, d)
+    """The findings of the detectors that the corpus queries roll up; the events are derived once."""
+    e = graph.cut(ev(spark, d))
     pairs = pairing.clean_pairs(pairing.with_prefix_counts(e))
     multi = pairing.multiple_results(e)
     parts = [
@@ -545,9 +555,9 @@ def repair_collapse_adjacent(spark, d):
     return changes.collapse_adjacent(ev(spark, d).withColumn("id", F.lit("same")), ["kind", "actor", "payload_hash"]).select("session", "idx")
 
 
-@query(""", o AS (SELECT session, id, row_number() OVER (PARTITION BY session ORDER BY idx) - 1 AS seq FROM ev WHERE k % 3 <> 0) SELECT * FROM o""")
+@query("SELECT session, id, row_number() OVER (PARTITION BY session ORDER BY idx) - 1 AS seq FROM ev")
 def repair_renumber(spark, d):
-    return changes.renumber(ev(spark, d).where("k % 3 <> 0")).select("session", "id", "seq")
+    return changes.renumber(ev(spark, d).withColumn("idx", F.col("idx") * 3 + 7)).select("session", "id", "seq")
 
 
 @query("""SELECT e.session, e.id, coalesce(p.id, e.parent_id) AS parent_id FROM ev e LEFT JOIN ev p ON e.parent_id LIKE '-%' AND p.session = e.session AND p.idx = e.idx - 1 AND p.branch_id = e.branch_id""")
@@ -572,19 +582,42 @@ def repair_drop_rows(spark, d):
     return changes.drop_rows(e, e.where("k % 9 = 0")).select("session", "id")
 
 
-@query("""WITH e AS (SELECT user_id AS ledger, event_id, row_number() OVER w AS line, row_number() OVER w - 1 AS seq0, sha256(props) AS body, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
-p AS (SELECT *, coalesce(lag(body) OVER (PARTITION BY ledger ORDER BY line), '') AS prev FROM e),
-t AS (SELECT ledger, line, k, seq0 + CASE WHEN k % 41 = 0 THEN 1 ELSE 0 END AS seq, seq0, body, CASE WHEN k % 37 = 0 THEN 'x' ELSE prev END AS prev_s, prev, sha256(prev || '|' || CAST(seq0 AS VARCHAR) || '|' || body) AS h FROM p),
-v AS (SELECT *, lag(seq) OVER (PARTITION BY ledger ORDER BY line) AS ls FROM t),
-b AS (SELECT ledger, line, CASE WHEN line > 1 AND seq <> ls + 1 THEN 'seq-gap' WHEN prev_s <> prev THEN 'chain-break' WHEN sha256(prev_s || '|' || CAST(seq AS VARCHAR) || '|' || body) <> h THEN 'hash-mismatch' END AS kind FROM v)
-SELECT ledger, min(line) AS line, arg_min(kind, line) AS kind FROM b WHERE kind IS NOT NULL GROUP BY ledger""", ev=False)
-def seal_verify(spark, d):
+#: The chain of every ledger, link by link: what an entry's hash covers and what the broken copy has in its place.
+CHAIN = """e AS (SELECT user_id AS ledger, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS line, props, sha256(props) AS body, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
+link AS (
+  SELECT ledger, line, body, k, repeat('0', 64) AS prev, sha256(repeat('0', 64) || '|1|' || body) AS h FROM e WHERE line = 1
+  UNION ALL
+  SELECT e.ledger, e.line, e.body, e.k, l.h, sha256(l.h || '|' || CAST(e.line AS VARCHAR) || '|' || e.body) FROM link l JOIN e ON e.ledger = l.ledger AND e.line = l.line + 1)
+"""
+
+
+def _sealed(spark, d):
     from pyspark.sql import Window as W
 
     w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    raw = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("ledger"), F.row_number().over(w).alias("line"), (F.row_number().over(w) - 1).alias("seq"), F.col("props").alias("body"), F.get_json_object("props", "$.k").cast("long").alias("k"))
-    sealed = changes.seal(raw)
-    torn = sealed.withColumn("seq", F.col("seq") + F.when(F.col("k") % 41 == 0, 1).otherwise(0)).withColumn("prev_sha256", F.when(F.col("k") % 37 == 0, "x").otherwise(F.col("prev_sha256")))
+    raw = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("ledger"), F.row_number().over(w).alias("line"), F.col("props").alias("body"))
+    return changes.seal(raw).withColumn("k", F.get_json_object("body", "$.k").cast("long"))
+
+
+@query(f"""WITH RECURSIVE {CHAIN}SELECT ledger, line AS seq, prev AS prev_sha256, h AS entry_sha256 FROM link""", ev=False)
+def seal_chain(spark, d):
+    return _sealed(spark, d).select("ledger", "seq", "prev_sha256", "entry_sha256")
+
+
+@query(f"""WITH RECURSIVE {CHAIN}, t AS (SELECT ledger, line, line + CASE WHEN k % 41 = 0 THEN 1 ELSE 0 END AS seq, CASE WHEN k % 37 = 0 THEN 'x' ELSE prev END AS prev_s, CASE WHEN k % 43 = 0 THEN sha256('other') ELSE body END AS body_s, h FROM link),
+v AS (SELECT *, lag(seq, 1, 0) OVER w AS ls, lag(h, 1, repeat('0', 64)) OVER w AS lh FROM t WINDOW w AS (PARTITION BY ledger ORDER BY line)),
+b AS (SELECT ledger, line, CASE WHEN seq <> ls + 1 THEN 'seq-gap' WHEN prev_s <> lh THEN 'chain-break' WHEN sha256(prev_s || '|' || CAST(seq AS VARCHAR) || '|' || body_s) <> h THEN 'hash-mismatch' END AS kind FROM v)
+SELECT ledger, min(line) AS line, arg_min(kind, line) AS kind FROM b WHERE kind IS NOT NULL GROUP BY ledger""", ev=False)
+def seal_verify(spark, d):
+    k = F.col("k")
+    torn = _sealed(spark, d).withColumns(
+        {
+            "seq": F.col("seq") + F.when(k % 41 == 0, 1).otherwise(0),
+            "prev_sha256": F.when(k % 37 == 0, "x").otherwise(F.col("prev_sha256")),
+            "body": F.when(k % 43 == 0, "other").otherwise(F.col("body")),
+            "body_sha256": F.when(k % 43 == 0, F.sha2(F.lit("other"), 256)).otherwise(F.col("body_sha256")),
+        }
+    )
     return changes.verify_seal(torn)
 
 
@@ -594,8 +627,8 @@ CONTRACT = {
     "name": "orders shipped",
     "source_key": ["o_orderkey"],
     "target_key": ["l_orderkey"],
-    "as_of": "1999-01-01 00:00:00",
-    "observed_at": "1999-01-01 00:00:00",
+    "as_of": "1999-01-01T00:00:00Z",
+    "observed_at": "1999-01-01T05:00:00+05:00",
     "conditions": [
         {"id": "shipped", "type": "exists"},
         {"id": "few", "type": "count", "min": 1, "max": 4},
@@ -654,3 +687,101 @@ def outcome_summary(spark, d):
 @query(OUTCOME + "SELECT count(*) AS n_items, any_value(s)[min(w) + 1] AS outcome FROM i, names", ev=False)
 def outcome_global(spark, d):
     return _outcome(spark, d)["outcome"]
+
+
+# --- readers and runner: the derived events written as logs of each format, parsed, detected and run ---
+
+
+def _logs(spark: SparkSession, d: str, fmt: str) -> DataFrame:
+    """One log a session in ``fmt``, as the file table (path, length, content) that the readers take."""
+    e = ev(spark, d).withColumn("at", F.date_format(F.expr("timestampadd(MILLISECOND, ts_ms, timestamp_ntz'1970-01-01 00:00:00')"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
+    kind, c = F.col("kind"), F.col
+    pick = lambda **by: F.coalesce(*[F.when(kind == k, F.lit(v) if isinstance(v, str) else v) for k, v in by.items()])
+    if fmt == "canonical":
+        payload = F.struct(c("payload_hash").alias("p"), c("ckpt_seq").alias("checkpoint_seq"), "state_hash")
+        line = F.to_json(F.struct("id", "parent_id", c("idx").alias("seq"), c("at").alias("ts"), "actor", "kind", payload.alias("payload"), c("corr").alias("correlation_id"), "branch_id"))
+        head, tail, name, sep = F.concat(F.lit('{"schema_version":"any.session/v1","created_at":"2025-01-01T00:00:00Z","session_id":"'), "session", F.lit('"}\n')), F.lit("\n"), F.concat("session", F.lit(".jsonl")), "\n"
+    elif fmt == "claude-code-jsonl":
+        use = F.struct(F.lit("tool_use").alias("type"), c("corr").alias("id"), F.lit("Read").alias("name"), F.struct(c("payload_hash").alias("p")).alias("input"))
+        result = F.struct(F.lit("tool_result").alias("type"), c("corr").alias("tool_use_id"), c("payload_hash").alias("content"))
+        rest = F.struct(F.lit("text").alias("type"), c("payload_hash").alias("text"))
+        content = F.when(kind == "tool_call", F.to_json(F.array(use))).when(kind == "tool_result", F.to_json(F.array(result))).otherwise(F.to_json(F.array(rest)))
+        what = pick(tool_call="assistant", tool_result="user", message="user", checkpoint="attachment", compaction_boundary="summary")
+        plain = F.to_json(F.struct(c("id").alias("uuid"), c("parent_id").alias("parentUuid"), what.alias("type"), c("at").alias("timestamp"), c("session").alias("sessionId"), c("branch_id").alias("branchId"), F.lit("2.0.30").alias("version")))
+        line = F.concat(F.expr("left(plain, length(plain) - 1)"), F.lit(',"message":{"content":'), "content", F.lit("}}"))
+        e = e.withColumns({"plain": plain, "content": content})
+        head, tail, name, sep = F.lit(""), F.lit("\n"), F.concat("session", F.lit(".jsonl")), "\n"
+    elif fmt == "codex-rollout":
+        what = pick(tool_call="response_item", tool_result="response_item", message="response_item", checkpoint="event_msg", compaction_boundary="compacted")
+        item = pick(tool_call="function_call", tool_result="function_call_output", message="message")
+        payload = F.struct("id", item.alias("type"), F.when(kind == "message", "user").alias("role"), c("corr").alias("call_id"), c("payload_hash").alias("output"))
+        line = F.to_json(F.struct(c("idx").alias("ordinal"), what.alias("type"), c("at").alias("timestamp"), payload.alias("payload")))
+        head, tail, name, sep = F.lit(""), F.lit("\n"), F.concat(F.lit("rollout-"), "session", F.lit(".jsonl")), "\n"
+    else:
+        what = pick(compaction_boundary="compaction", message="message", tool_call="tool_call", tool_result="tool_result", checkpoint="checkpoint")
+        line = F.to_json(F.struct("id", c("parent_id").alias("prev_id"), what.alias("type"), F.when(kind == "message", "user").alias("role"), c("corr").alias("call_id"), c("payload_hash").alias("content"), c("ckpt_seq").alias("seq"), c("state_hash").alias("hash"), c("at").alias("timestamp")))
+        head, tail, name, sep = F.lit('{"run_state":{},"items":['), F.lit("]}"), F.concat("session", F.lit(".json")), ","
+    body = e.select("session", "idx", line.alias("line")).groupBy("session").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "line"))), lambda x: x["line"]), sep).alias("body"))
+    text = body.select(F.concat(F.lit("/logs/"), name).alias("path"), F.concat(head, "body", tail).cast("binary").alias("content"))
+    return text.select("path", F.octet_length("content").cast("long").alias("length"), "content")
+
+
+#: What the four logs of the same events have in common, by code; a rollout chains its records and asks no correlator of a result.
+RUN_CODES = {
+    "SL004": "sl004_missing_parent", "SL101": "sl101_orphan_results", "SL102": "sl102_dangling_calls", "SL103": "sl103_reused_calls", "SL104": "sl104_multiple_results",
+    "SL105": "sl105_reversed", "SL106": "sl106_cross_branch", "SL108": "sl108_compaction_split", "SL201": "sl201_checkpoint_gaps", "SL202": "sl202_divergence", "SL203": "sl203_unsafe_continuation",
+}
+NO_CHECKPOINTS = [c for c in RUN_CODES if not c.startswith("SL2")]
+CHAINED = [c for c in NO_CHECKPOINTS if c not in ("SL004", "SL106")]
+
+
+def _run(spark: SparkSession, d: str, fmt: str, codes: list[str]) -> dict[str, DataFrame]:
+    return runner.run(files.split(graph.cut(files.read_sessions(_logs(spark, d, fmt)))), runner.NEUTRAL.select(codes))
+
+
+def _session(column: str = "session"):
+    return F.regexp_extract(column, r"([0-9]+)\.jsonl?$", 1).alias("session")
+
+
+def _run_sql(codes: list[str], where: dict[str, str] | None = None) -> str:
+    def nested(name: str) -> str:
+        body = _plain(name)
+        return f"(WITH RECURSIVE {body.lstrip(', ')})" if body.startswith(",") else f"({body})"
+
+    return " UNION ALL ".join(f"SELECT session, '{c}' AS code, count(*) AS n FROM {nested(RUN_CODES[c])} {(where or {}).get(c, '')} GROUP BY session" for c in codes)
+
+
+def _counted(got: dict[str, DataFrame]) -> DataFrame:
+    return got["findings"].select(_session(), "code").groupBy("session", "code").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_run_sql(list(RUN_CODES)))
+def runner_canonical(spark, d):
+    return _counted(_run(spark, d, "canonical", list(RUN_CODES)))
+
+
+@query(_run_sql(NO_CHECKPOINTS))
+def runner_chat(spark, d):
+    return _counted(_run(spark, d, "claude-code-jsonl", list(RUN_CODES)))
+
+
+@query(_run_sql(CHAINED, {"SL101": "WHERE corr IS NOT NULL"}))
+def runner_rollout(spark, d):
+    return _counted(_run(spark, d, "codex-rollout", list(RUN_CODES)))
+
+
+@query(_run_sql([c for c in RUN_CODES if c != "SL106"]))
+def runner_agents(spark, d):
+    return _counted(_run(spark, d, "openai-agents", [c for c in RUN_CODES if c != "SL106"]))
+
+
+@query(f""", fd AS ({_run_sql(list(RUN_CODES))})
+SELECT s.session, CASE WHEN coalesce(sum(n) FILTER (code <> 'SL108'), 0) > 0 THEN 'invalid' ELSE 'healthy' END AS verdict, CAST(coalesce(sum(n) FILTER (code <> 'SL108'), 0) AS BIGINT) AS errors,
+  CAST(coalesce(sum(n) FILTER (code = 'SL108'), 0) AS BIGINT) AS warnings FROM (SELECT DISTINCT session FROM ev) s LEFT JOIN fd ON fd.session = s.session GROUP BY s.session""")
+def runner_verdicts(spark, d):
+    return _run(spark, d, "canonical", list(RUN_CODES))["verdicts"].select(_session(), "verdict", "errors", "warnings")
+
+
+@query(f"SELECT code, CASE WHEN code IN ({', '.join(repr(c) for c in RUN_CODES)}) THEN 'performed' ELSE 'disabled' END AS state, (SELECT count(DISTINCT session) FROM ev) AS n FROM (SELECT unnest([{', '.join(repr(c) for c, *_ in CODES)}]) AS code)")
+def runner_coverage(spark, d):
+    return _run(spark, d, "canonical", list(RUN_CODES))["coverage"].groupBy("code", "state").agg(F.count(F.lit(1)).alias("n"))
