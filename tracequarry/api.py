@@ -7,9 +7,9 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import changes, compatibility, graph, outcome, pairing
+from .operators import changes, compatibility, graph, outcome
 from .operators.graph import cut
-from .plans import corpus, runner
+from .plans import corpus, repairs, runner
 from .plans.runner import NEUTRAL, Profile
 from .sources import files, sinks
 from .sources.formats import detect
@@ -62,50 +62,38 @@ def triage(spark: SparkSession, path: str, **more) -> dict[str, DataFrame]:
     return got | {"impact": graph.impact(e, seeds)}
 
 
-#: Conservative repairs by finding code, each DataFrame to DataFrame; ``register_recipe`` adds others.
-RECIPES = {
-    "SL003": lambda e: changes.drop_duplicates(e, "id", ["kind", "actor", "payload_hash"]),
-    "SL104": changes.drop_extra_results,
-}
+def register_recipe(recipe: repairs.Recipe) -> None:
+    repairs.RECIPES.append(recipe)
 
 
-def register_recipe(code: str, recipe) -> None:
-    RECIPES[code] = recipe
+def _planned(parts: dict[str, DataFrame], profile: Profile, mode: str, acknowledged: bool) -> tuple[dict[str, DataFrame], DataFrame, DataFrame]:
+    got = runner.run(parts, profile)
+    return got, *repairs.plan(parts["events"], got["findings"], mode, acknowledged)
 
 
-def plan(spark: SparkSession, path: str, **more) -> DataFrame:
-    """Steps: session, code, n, action (a recipe's code, or why not). A session with SL203 is left alone as a whole."""
-    f = runner.run(load(spark, path, **more))["findings"]
-    stopped = f.where("code = 'SL203'").select("session", F.lit(True).alias("stopped")).distinct()
-    per = f.groupBy("session", "code", "repairability").agg(F.count(F.lit(1)).alias("n")).join(stopped, "session", "left")
-    action = F.when(F.col("stopped"), "blocked:unsafe").when(F.col("repairability") != "deterministic", F.concat(F.lit("blocked:"), "repairability")).when(F.col("code").isin(*RECIPES), F.col("code")).otherwise("blocked:no-recipe")
-    return per.select("session", "code", "n", action.alias("action"))
+def plan(spark: SparkSession, path: str, profile: Profile = NEUTRAL, mode: str = "conservative", acknowledged: bool = False, **walk) -> DataFrame:
+    """Steps: every finding with its recipe, and ``apply`` or why not. Modes: conservative, salvage (recipes that lose records too)."""
+    return _planned(load(spark, path, **walk), profile, mode, acknowledged)[1]
 
 
-def repair(spark: SparkSession, path: str, **more) -> tuple[DataFrame, DataFrame]:
-    """(repaired events, plan): every planned recipe applied to the sessions it was planned for."""
-    steps = cut(plan(spark, path, **more))
-    e = load(spark, path, **more)["events"]
-    for code, recipe in RECIPES.items():
-        todo = steps.where(F.col("action") == code).select("session").distinct()
-        e = recipe(e.join(todo, "session", "left_semi")).unionByName(e.join(todo, "session", "left_anti"))
-    return changes.renumber(e), steps
+def repair(spark: SparkSession, path: str, profile: Profile = NEUTRAL, mode: str = "conservative", acknowledged: bool = False, **walk) -> dict[str, DataFrame]:
+    """events (repaired; ``idx`` is the place in the source, ``seq`` the new one), steps, edits, manifest. Only rows that an applied finding names change."""
+    parts = load(spark, path, **walk)
+    got, steps, edits = _planned(parts, profile, mode, acknowledged)
+    events = cut(repairs.apply(parts["events"], edits))
+    return {"events": events, "steps": steps, "edits": edits, "manifest": repairs.manifest(parts["events"], events, edits, got["verdicts"])}
 
 
-def verify(before: DataFrame, repaired: DataFrame, steps: DataFrame) -> dict[str, bool]:
-    """Independent checks: nothing added, untouched sessions equal, losses only where planned, and a second pass changes nothing."""
-    cols = ["id", "kind", "payload_hash"]
-    lost = changes.equivalent(before, repaired, cols)
-    planned = steps.where("action not like 'blocked%'").select("session").distinct()
-    done = repaired.join(planned, "session", "left_semi")
-    again = done
-    for recipe in RECIPES.values():
-        again = recipe(again)
-    return {
-        "nothing_added": repaired.select("session", "idx", *cols).exceptAll(before.select("session", "idx", *cols)).isEmpty(),
-        "only_planned": lost.join(planned, "session", "left_anti").isEmpty(),
-        "idempotent": again.count() == done.count(),
-    }
+def verify(spark: SparkSession, path: str, output: DataFrame, manifest: DataFrame, profile: Profile = NEUTRAL, mode: str = "conservative", acknowledged: bool = False, **walk) -> dict[str, bool]:
+    """Whether ``output`` is what a repair of ``path`` gives, by seven independent checks: planned, replayed and checked anew."""
+    parts = load(spark, path, **walk)
+    got, steps, edits = _planned(parts, profile, mode, acknowledged)
+    # Lines that were left out are no damage of the output.
+    omitted = steps.where("status = 'apply' and code in ('SL001', 'SL002')").select("session", "code", "idx")
+    left = parts["findings"].join(omitted, ["session", "code", "idx"], "left_anti").select(*parts["findings"].columns)
+    again = parts | {"events": cut(output.withColumn("idx", F.col("seq"))), "findings": left}
+    after, steps_after, _ = _planned(again, profile, mode, acknowledged)
+    return repairs.verify(manifest, parts["events"], output, edits, got["verdicts"], after["verdicts"], steps_after)
 
 
 def verify_outcome(spark: SparkSession, contract: dict | str, source: str, target: str, as_of: str | None = None) -> dict[str, DataFrame]:
@@ -154,18 +142,13 @@ def reconcile(spark: SparkSession, path: str, index: str, state: str | None = No
     return out if condition == "complete" else out.unionByName(spark.createDataFrame([(condition, index)], "divergence string, key string"))
 
 
-def ambiguous(events: DataFrame) -> DataFrame:
-    """Events whose pairing is open, so that no repair may touch them: reused correlators, several results, lone sides."""
-    pick = lambda df, why: df.select("session", "corr", F.lit(why).alias("reason"))
-    lone = pairing.orphan_results(events).unionByName(pairing.dangling_calls(events)).where("corr is not null")
-    reasons = pick(pairing.reused_calls(events), "reused").unionByName(pick(pairing.multiple_results(events).where("repairability = 'manual'"), "results")).unionByName(pick(lone, "lone"))
-    return events.where("corr is not null").select("session", "corr", "idx", "id").join(reasons, ["session", "corr"]).select("session", "idx", "id", "reason")
+ambiguous = repairs.ambiguous
 
 
 def preview(spark: SparkSession, path: str, **more) -> DataFrame:
     """What a repair would change, as deltas; nothing is written."""
-    fixed, _ = repair(spark, path, **more)
-    return changes.diff(load(spark, path, **more)["events"], fixed)
+    fixed = repair(spark, path, **more)["events"].withColumn("idx", F.col("seq"))
+    return changes.diff(load(spark, path)["events"], fixed)
 
 
 def session_roots(spark: SparkSession, path: str) -> DataFrame:

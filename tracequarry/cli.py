@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 import time
 from dataclasses import replace
@@ -12,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import api
-from .operators import changes, outcome
+from .operators import changes, graph, outcome
+from .plans import corpus
 from .plans.runner import NEUTRAL, STRICT, Profile
 from .sources import files, sinks
 from .streaming.watch import step
@@ -28,6 +30,10 @@ class ConfigError(ValueError):
     pass
 
 
+class SealError(ValueError):
+    pass
+
+
 def configure(path: str | None) -> dict:
     if not path:
         return {}
@@ -62,7 +68,9 @@ def watch(spark: SparkSession, path: str, polls: int, interval: float) -> list[d
     state: dict = {}
     out = []
     for k in range(polls):
-        seen = api.check(spark, path)["verdicts"].join(files.walk(spark, path).select(F.col("path").alias("session"), "length", F.unix_millis("modificationTime").alias("mtime")), "session")
+        got = api.check(spark, path)
+        told_as = corpus.watch_verdicts(got["verdicts"], got["findings"])
+        seen = told_as.join(files.walk(spark, path).select(F.col("path").alias("session"), "length", F.unix_millis("modificationTime").alias("mtime")), "session")
         for r in seen.collect():  # one small row a file of the watched folder
             poll = pd.DataFrame([{"at": pd.Timestamp.now(), "size_bytes": r.length, "mtime": r.mtime, "verdict": r.verdict}])
             state[r.session], told = step(state.get(r.session), poll)
@@ -107,6 +115,9 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument("--ignore", nargs="*")
         if name in ("check", "scan", "repair", "export", "seal"):
             c.add_argument("-o", "--output")
+        if name in ("repair", "verify"):
+            c.add_argument("--mode", choices=["conservative", "salvage"], default="conservative")
+            c.add_argument("--acknowledge", action="store_true")
         if name == "watch":
             c.add_argument("--polls", type=int, default=2)
             c.add_argument("--interval", type=float, default=1.0)
@@ -138,18 +149,24 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         print(text, end="")
         return code
     if a.command == "repair":
-        fixed, steps = api.repair(spark, a.path, **walk)
+        done = api.repair(spark, a.path, mode=a.mode, acknowledged=a.acknowledge, **walk)
         if a.output:
-            sinks.export_events(fixed, a.output)
-        out = rows(steps)
+            sinks.export_events(done["events"], a.output)
+        out = rows(done["steps"])
     elif a.command == "verify":
-        before = api.load(spark, a.path, **walk)["events"]
-        fixed, steps = api.repair(spark, a.path, **walk)
-        out = api.verify(before.drop("seq"), fixed.drop("seq"), steps)
+        done = api.repair(spark, a.path, mode=a.mode, acknowledged=a.acknowledge, **walk)
+        out = api.verify(spark, a.path, done["events"], done["manifest"], mode=a.mode, acknowledged=a.acknowledge, **walk)
         code = int(not all(out.values()))
     elif a.command == "seal":
-        listing = files.walk(spark, a.path, **walk).select(F.lit(a.path).alias("ledger"), F.expr("row_number() over (order by path) - 1").alias("seq"), F.concat_ws(" ", "path", F.sha2("content", 256)).alias("body"))
-        sealed = changes.seal(listing)
+        listing = files.walk(spark, a.path, **walk).select(F.lit(a.path).alias("ledger"), F.expr("row_number() over (order by path)").alias("line"), F.concat_ws(" ", "path", F.sha2("content", 256)).alias("body"))
+        heads, before = None, 0
+        if a.output and os.path.exists(a.output):
+            old = graph.cut(spark.read.parquet(a.output))
+            if bad := rows(changes.verify_seal(old)):
+                raise SealError(f"the ledger diverges and is not carried on: {bad}")
+            heads = old.groupBy("ledger").agg(F.max(F.struct("seq", "entry_sha256")).alias("m")).select("ledger", "m.*")
+            before = old.agg(F.max("line")).first()[0] or 0
+        sealed = graph.cut(changes.seal(listing.withColumn("line", F.col("line") + before), heads))
         if a.output:
             sealed.write.mode("append").parquet(a.output)
         out = rows(sealed.select("seq", "body", "prev_sha256", "entry_sha256").orderBy("seq"))

@@ -5,11 +5,11 @@ from __future__ import annotations
 import csv
 import io
 import json
+import re
 import sqlite3
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,24 +24,47 @@ READ = f"tag string, session string, format string, event struct<{', '.join(f'{x
 def walk(spark: SparkSession, path: str, ext: tuple[str, ...] = ("jsonl", "json"), exclude: str | None = None, since: str | None = None, newest: int | None = None, max_files: int | None = MAX_FILES, max_bytes: int | None = MAX_BYTES) -> DataFrame:
     """Files of a tree: path, modificationTime, length, content, over (beyond the caps, in path order).
 
-    The size gate is a filter of the listing, so contents of oversize files are
-    never read.
+    The gates are applied to the listing, without contents: files over the size
+    limit or the caps come back with a null content, which is never read. Of a
+    capped listing at most ``max_files`` paths come to the driver.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(ext) + "}" if len(ext) > 1 else f"*.{ext[0]}")
     if since:
         reader = reader.option("modifiedAfter", since)
-    files = reader.load(path).where(~F.col("path").rlike(EXCLUDED))
-    if exclude:
-        files = files.where(~F.col("path").rlike(exclude))
+
+    def wanted(df: DataFrame) -> DataFrame:
+        df = df.where(~F.col("path").rlike(EXCLUDED))
+        return df.where(~F.col("path").rlike(exclude)) if exclude else df
+
+    every = wanted(reader.load(path))
+    listing = every.select("path", "modificationTime", "length")
     if newest:
-        keep = files.select("path", "modificationTime").orderBy(F.desc("modificationTime"), "path").limit(newest)
-        files = files.join(F.broadcast(keep.select("path")), "path", "left_semi")  # at most ``newest`` rows
-    if max_files is None and max_bytes is None:
-        return files.withColumn("over", F.lit(False))
-    # Running totals over the listing alone: one small row a file.
-    w = W.orderBy("path").rowsBetween(W.unboundedPreceding, 0)
-    capped = files.select("path", ((F.row_number().over(W.orderBy("path")) > (max_files or 1 << 60)) | (F.sum("length").over(w) > (max_bytes or 1 << 62))).alias("over"))
-    return files.join(capped, "path")
+        listing = listing.orderBy(F.desc("modificationTime"), "path").limit(newest)
+    unread = F.lit(None).cast("binary").alias("content")
+    columns = ["path", "modificationTime", "length", "content", "over"]
+    if not newest and max_files is None and max_bytes is None:
+        small = every.where(F.col("length") <= MAX_FILE).select("path", "modificationTime", "length", "content", F.lit(False).alias("over"))
+        return small.unionByName(listing.where(F.col("length") > MAX_FILE).select("path", "modificationTime", "length", unread, F.lit(False).alias("over")))
+    room, held, kept = max_bytes or 1 << 62, 0, []
+    ordered = listing.orderBy("path")
+    for row in (ordered.limit(max_files) if max_files else ordered).toLocalIterator():
+        held += row.length
+        if held > room:
+            break
+        kept.append((row.path, row.length))
+    named = spark.createDataFrame(kept or [("", 0)], "path string, length long").select("path")
+    fit = [_literal(p) for p, n in kept if n <= MAX_FILE]
+    rest = listing.join(F.broadcast(named.withColumn("in", F.lit(True))), "path", "left").where(F.col("in").isNull() | (F.col("length") > MAX_FILE))
+    out = rest.select("path", "modificationTime", "length", unread, F.col("in").isNull().alias("over"))
+    if fit:
+        read = spark.read.format("binaryFile").load(fit).where(F.col("length") <= MAX_FILE)
+        out = read.withColumn("over", F.lit(False)).select(*columns).unionByName(out)
+    return out
+
+
+def _literal(path: str) -> str:
+    """``path`` with the signs of a pattern taken literally."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
 
 
 def latest(spark: SparkSession, path: str) -> DataFrame:
@@ -53,7 +76,7 @@ def read_sessions(files: DataFrame, fmt: str | None = None) -> DataFrame:
     """Every file parsed in its task; tagged rows of events, reader findings, links and file facts (see ``split``)."""
     event_type = files.sparkSession.createDataFrame([], READ).schema["event"].dataType
     names = event_type.fieldNames()
-    content = F.when(F.col("length") <= MAX_FILE, F.col("content")) if "over" not in files.columns else F.when((F.col("length") <= MAX_FILE) & ~F.col("over"), F.col("content"))
+    content = F.when(F.col("length") <= MAX_FILE, F.col("content"))
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(T.StructType.fromDDL(READ))
@@ -130,7 +153,7 @@ def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
 
 
 def read_state(spark: SparkSession, path: str, cap: int = 100_000) -> dict[str, DataFrame]:
-    """threads, thread_spawn_edges and skipped migrations of a state database, at most ``cap`` rows each, opened read-only."""
+    """threads, thread_spawn_edges and skipped migrations of a state database, opened read-only; a table of more than ``cap`` rows is refused."""
     tables = {"threads": ("id", "rollout_path"), "thread_spawn_edges": ("parent_thread_id", "child_thread_id"), "rollout_migration_skipped_rollouts": ("rollout_path", "reason")}
     out = {}
     with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as con:
@@ -138,7 +161,9 @@ def read_state(spark: SparkSession, path: str, cap: int = 100_000) -> dict[str,
         for name, cols in tables.items():
             own = {r[1] for r in con.execute(f"pragma table_info({name})")} if name in have else set()
             picks = ", ".join(c if c in own else f"null as {c}" for c in cols)
-            rows = con.execute(f"select {picks} from {name} limit {cap}").fetchall() if own else []
+            rows = con.execute(f"select {picks} from {name} limit {cap + 1}").fetchall() if own else []
+            if len(rows) > cap:
+                raise ValueError(f"more than {cap} rows in {name}")
             out[name] = spark.createDataFrame([tuple(None if v is None else str(v) for v in r) for r in rows], ", ".join(f"{c} string" for c in cols))
     return out
 

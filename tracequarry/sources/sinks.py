@@ -40,7 +40,7 @@ def report(findings: DataFrame, verdicts: DataFrame | None = None) -> dict:
     by_code = {r.code: r.n for r in corpus.by_code(findings).collect()}
     by_severity = {r.severity: r["count"] for r in findings.groupBy("severity").count().collect()}
     listed = [r.asDict() for r in corpus.total_order(findings).select("session", "code", "severity", "idx", "record_id", "evidence").limit(MAX_LISTED).collect()]
-    out = {"counts": {"total": sum(by_code.values()), "by_code": dict(sorted(by_code.items())), "by_severity": {s: by_severity.get(s, 0) for s in SEVERITIES}}, "findings": listed}
+    out = {"counts": {"total": sum(by_code.values()), "by_code": dict(sorted(by_code.items())), "by_severity": {s: by_severity.get(s, 0) for s in SEVERITIES}}, "findings": listed, "not_listed": max(0, sum(by_code.values()) - len(listed))}
     if verdicts is not None:
         out["totals"] = {r.verdict: r.n for r in corpus.totals(verdicts).collect()}
     return out
@@ -54,6 +54,7 @@ def to_text(doc: dict) -> str:
     c = doc["counts"]
     rows = [f"{c['total']} findings: " + ", ".join(f"{n} {s}" for s, n in c["by_severity"].items() if n)]
     rows += [f"{f['severity']:8} {f['code']} {f['session']}:{f['idx'] if f['idx'] is not None else '-'} {f['record_id'] or ''}".rstrip() for f in doc["findings"]]
+    rows += [f"and {doc['not_listed']} more"] if doc.get("not_listed") else []
     return "\n".join(rows) + "\n"
 
 
