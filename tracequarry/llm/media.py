@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import rows, table, texts
 
 BLOCK, RATE = 64, 16_000
-#: Polyphase factors, taps for each phase, frame and hop in resampled samples, mel bands, frames in a tensor.
-UP, DOWN, TAPS, FRAME, HOP, MELS, FRAMES = 1, 2, 16, 400, 160, 20, 32
+#: Polyphase factors (16 kHz to 10 kHz), zero crossings of the filter, frame and hop in resampled samples, mel bands, frames in a tensor.
+UP, DOWN, TAPS, FRAME, HOP, MELS, FRAMES = 5, 8, 16, 400, 160, 20, 32
 #: Energy gate in dB below the loudest frame: a segment opens above the first and closes under the second.
 OPEN_DB, CLOSE_DB = -3.0, -6.0
 #: Samples worked on at a time, so a very long payload needs bounded memory.
@@ -51,13 +51,12 @@ def load(stored: bytes) -> bytes:
 
 
 @lru_cache
-def _phases() -> np.ndarray:
-    """Windowed-sinc low pass, one row of taps for each output phase."""
-    n = TAPS * max(UP, DOWN)
-    t = np.arange(n * UP) - (n * UP - 1) / 2
-    h = np.sinc(t / max(UP, DOWN)) * np.hamming(n * UP)
-    rows_ = np.stack([h[p::UP] for p in range(UP)])
-    return (rows_ / rows_.sum(1, keepdims=True)).astype(np.float32)
+def _phases(up: int = UP, down: int = DOWN) -> np.ndarray:
+    """Windowed-sinc low pass: for each of ``up`` phases the taps on the inputs around an output that lies phase / up after one of them."""
+    reach = -(-TAPS * max(up, down) // (2 * up))
+    ahead = np.arange(up)[:, None] / up + reach - np.arange(2 * reach + 1)  # from the input to the output, in input samples
+    h = np.sinc(ahead * min(1.0, up / down)) * (0.54 + 0.46 * np.cos(np.pi * ahead / (reach + 1)))
+    return (h / h.sum(1, keepdims=True)).astype(np.float32)
 
 
 @lru_cache
@@ -70,18 +69,18 @@ def _mel() -> np.ndarray:
     return np.maximum(0, np.minimum(up, down)).astype(np.float32)
 
 
-def resample(samples: np.ndarray) -> np.ndarray:
-    """Polyphase: output k takes the taps of phase ``k * DOWN % UP`` around input ``k * DOWN // UP``."""
-    phases = _phases()
+def resample(samples: np.ndarray, up: int = UP, down: int = DOWN) -> np.ndarray:
+    """Polyphase: output k takes the taps of phase ``k * down % up`` around input ``k * down // up``; silence lies beyond both ends."""
+    phases = _phases(up, down)
     width = phases.shape[1]
     padded = np.pad(samples, (width // 2, width))
-    n = -(-len(samples) * UP // DOWN)
+    n = -(-len(samples) * up // down)
     out = np.empty(n, np.float32)
     windows = np.lib.stride_tricks.sliding_window_view(padded, width)
-    for p in range(UP):
-        k = np.arange(p, n, UP)
-        phase, start = (p * DOWN) % UP, (p * DOWN) // UP
-        out[k] = np.einsum("ij,j->i", windows[start::DOWN][: len(k)], phases[phase])
+    for p in range(min(up, n)):
+        k = np.arange(p, n, up)
+        phase, start = (p * down) % up, (p * down) // up
+        out[k] = np.einsum("ij,j->i", windows[start::down][: len(k)], phases[phase])
     return out
 
 
