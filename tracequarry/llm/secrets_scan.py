@@ -4,16 +4,22 @@ A value in a wider credential context (a key word, an optional sign, a value)
 that no single span of the fixed patterns covers whole is segmented by dynamic programming into
 dictionary words, dates, repeats, keyboard walks and brute-force spans; the
 cheapest segmentation is what a guesser would need, in bits. A value that costs
-at least ``MIN_BITS`` is reported as kind ``guess``.
+at least ``MIN_BITS`` is reported as kind ``guess``, however short or long it is.
+
+The dictionary is a ranked word list: the fixed pass words, then, where a
+vocabulary file is named, the whole words of that file in its own order, which
+is that of their frequency. The file is installed on the executors.
 
 Defined cases: a null or empty text has no spans; spans are code points, end
 exclusive; spans of different kinds may overlap; repeated rows are each
-scanned; an empty table gives an empty result; extra columns are ignored.
+scanned; an empty table gives an empty result; extra columns are ignored; a
+very long text or value is scanned whole (the search ends at ``MIN_BITS``).
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
 
@@ -28,7 +34,7 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "guess")
 #: Contexts of the guess-cost search: more key words, and white space alone as the sign after a scheme's name; a value has no upper bound.
 CONTEXT = re.compile(
-    r"""(?<![A-Za-z])(?:(?:pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|credentials?|auth(?:orization)?|bearer|api[_-]?key|access[_-]?key|private[_-]?key)["']?\x20*(?:[:=]|\x20is\x20|=>)\x20*["']?(?:(?:bearer|basic)\x20+)?|bearer\x20+(?=[^\s"',;]*\d))([^\s"',;]{6,})""",
+    r"""(?<![A-Za-z])(?:(?:pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|credentials?|auth(?:orization)?|bearer|api[_-]?key|access[_-]?key|private[_-]?key)["']?\x20*(?:[:=]|\x20is\x20|=>)\x20*["']?(?:(?:bearer|basic)\x20+)?|bearer\x20+(?=[^\s"',;]*\d))([^\s"',;]+)""",
     re.ASCII | re.IGNORECASE,
 )
 MIN_BITS = 28.0
@@ -41,8 +47,10 @@ KEYBOARD = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./", "~!@
 LEET = str.maketrans("013457$@!", "oleastsai")
 DATE = re.compile(r"(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d|(?:19|20)\d\d")
 
-_RANK = {w: k + 1 for k, w in enumerate(WORDS)}
-_LONGEST = max(map(len, WORDS))
+#: Words of a vocabulary file that count, by length; shorter ones are no cheaper than their letters.
+SHORTEST, LONGEST = 3, 24
+#: Characters before the end of their run at which repeats and walks may stop, so that what follows can begin inside it.
+STOP = 32
 _NEXT = {(a, b) for row in KEYBOARD for line in (row, row[::-1]) for a, b in zip(line, line[1:], strict=False)}
 
 
@@ -52,7 +60,22 @@ def _brute(c: str) -> float:
     return math.log2(size)
 
 
-def guess_bits(value: str, enough: float = math.inf) -> float:
+def ranked_words(path: str | None = None) -> dict[str, int]:
+    """Rank of each dictionary word, from 1: WORDS, then the whole words of a vocabulary file in the order of their numbers."""
+    words = list(WORDS)
+    if path:
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        end = model.get("end_of_word_suffix") or ""
+        whole = (w[: len(w) - len(end)].lower() for w in sorted(model["vocab"], key=model["vocab"].get) if w.endswith(end))
+        words += [w for w in whole if w.isascii() and w.isalpha() and SHORTEST <= len(w) <= LONGEST]
+    return {w: k + 1 for k, w in enumerate(dict.fromkeys(words))}
+
+
+FIXED = ranked_words()
+
+
+def guess_bits(value: str, enough: float = math.inf, ranks: dict[str, int] = FIXED) -> float:
     """Bits of the cheapest segmentation of ``value`` by dynamic programming over its prefixes; '' costs nothing.
 
     Ends early, with ``enough``, once no prefix under it is left to go on from.
@@ -82,10 +105,10 @@ def guess_bits(value: str, enough: float = math.inf) -> float:
                     far = j
 
         reach(i + 1, best[i] + _brute(value[i]))
-        for j in range(i + 2, min(n, i + _LONGEST) + 1):
-            if (rank := _RANK.get(low[i:j])) is not None:
+        for j in range(i + SHORTEST, min(n, i + LONGEST) + 1):
+            if (rank := ranks.get(low[i:j])) is not None:
                 reach(j, here + math.log2(rank + 1) + (low[i:j] != value[i:j]))
-            elif (rank := _RANK.get(plain[i:j])) is not None:
+            elif (rank := ranks.get(plain[i:j])) is not None:
                 reach(j, here + math.log2(rank + 1) + 2)
         if value[i].isdigit() and (m := DATE.match(value, i)):
             reach(m.end(), here + (math.log2(365 * 120) if m.end() - i > 4 else math.log2(120)))
@@ -94,7 +117,7 @@ def guess_bits(value: str, enough: float = math.inf) -> float:
             while walk < n and (low[walk - 1], low[walk]) in _NEXT:
                 walk += 1
         if walked[i] != walk:  # a walk cut in two costs more than the whole
-            for j in range(i + 3, walk + 1):
+            for j in range(max(i + 3, walk - STOP), walk + 1):
                 reach(j, here + math.log2(len(_NEXT)) + math.log2(j - i), walk)
         for width in range(1, min(8, (n - i) // 2) + 1):
             if unlike[width] < i:
@@ -103,12 +126,15 @@ def guess_bits(value: str, enough: float = math.inf) -> float:
                     k += 1
                 unlike[width] = k
             times = 1 + (unlike[width] - i) // width
-            if times > 1 and times * width >= 3:
-                reach(i + times * width, here + sum(map(_brute, value[i : i + width])) + math.log2(times))
+            if times > 1:
+                unit = here + sum(map(_brute, value[i : i + width]))
+                for t in range(max(2, times - STOP // width), times + 1):
+                    if t * width >= 3:
+                        reach(i + t * width, unit + math.log2(t))
     return best[n]
 
 
-def scan(text: str, min_bits: float = MIN_BITS) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+def scan(text: str, min_bits: float = MIN_BITS, ranks: dict[str, int] = FIXED) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(base spans, further spans), each (start, kind number, end) in order."""
     base = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12]
     if "AKIA" in text:
@@ -118,7 +144,7 @@ def scan(text: str, min_bits: float = MIN_BITS) -> tuple[list[tuple[int, int, in
     more = []
     for m in CONTEXT.finditer(text):
         a, b = m.span(1)
-        if not any(s <= a and b <= e for s, _, e in base) and guess_bits(m[1], min_bits) >= min_bits:
+        if not any(s <= a and b <= e for s, _, e in base) and guess_bits(m[1], min_bits, ranks) >= min_bits:
             more.append((a, 3, b))
     return base, more
 
@@ -127,7 +153,7 @@ def _joined(spans) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bits: float = MIN_BITS) -> DataFrame:
+def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bits: float = MIN_BITS, words_path: str | None = None) -> DataFrame:
     """Counts, the digest of the base spans, all spans as text and, as ``found``, each with its matched text."""
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"{id_col} {kind}, n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string, found array<struct<kind:string,start:int,end:int,value:string>>"
@@ -135,12 +161,13 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches):
         item = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())]))
         types = [*[pa.int64()] * 4, pa.string(), pa.string(), item]
+        ranks = ranked_words(words_path)
         for whole in batches:
             for batch in rows(whole, name="t"):
                 out: list[list] = [[] for _ in types]
                 for text in batch.column(1).to_pylist():
                     text = text or ""
-                    base, more = scan(text, min_bits)
+                    base, more = scan(text, min_bits, ranks)
                     every = sorted(base + more)
                     counts = [sum(k == j for _, k, _ in every) for j in range(4)]
                     values = [{"kind": KINDS[k], "start": a, "end": b, "value": text[a:b]} for a, k, b in every]
@@ -152,5 +179,8 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.selectExpr(f"`{id_col}`", f"cast(`{text_col}` as string) t").mapInArrow(run, schema)
 
 
-def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_spans(table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_guess")
+def op2_secrets(spark: SparkSession, sf_dir: str, words_path: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    found = secret_spans(table(spark, sf_dir, "documents"), words_path=words_path or str(public_tokenizers.path("word_bpe_49k.json")))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_guess")
