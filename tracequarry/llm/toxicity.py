@@ -1,24 +1,29 @@
 """Toxicity by a weighted pattern grammar over clauses.
 
-Four finite-state transducers read a clause as a string of token classes and
+Five finite-state transducers read a clause as a string of token classes and
 are composed left to right: negation weakens an insult that follows within its
 scope, reported speech weakens what is quoted, the target machine strengthens
-insults that stand with a target, and the threat machine accepts modal - harm -
-target sequences. A clause's evidence is the sum of the arc weights times the
-lexicon weights of the tokens, and a document's evidence the sum over its
+insults that stand with a target, the threat machine accepts modal - harm -
+target sequences, and the insult machine accepts a clause in which an insult is
+said of something, that is, stands with another word before or behind it. The
+weights of insults count in an accepted clause alone: a word by itself, as in a
+list or a heading, is no match. A document's evidence is the sum over its
 clauses; words outside a matched clause count for nothing.
 
 The insult lexicon and the calibration are learnt from labelled training rows:
 words and word beginnings that are far more frequent in toxic than in other
 documents, counted once for each group of near copies. At most MAX_POSITIVE and
-MAX_NEGATIVE labelled rows are used, those whose ids hash lowest; that bound is
-the only sampling. Labels, lang, source and doc_id are no inputs of a score.
+MAX_NEGATIVE labelled ids are used, those that hash lowest, with one text each;
+that bound is the only sampling. Labels, lang, source and doc_id are no inputs
+of a score.
 
 Defined cases: null and empty texts get the score of a document without
 evidence; a null label or id is no training row; several labels of a row: toxic
-if any says so; without training rows of both classes the lexicon is empty and
-every score is PRIOR; repeated rows get equal scores; an empty table gives an
-empty result; extra columns are passed through by ``score_documents``.
+if any says so; several texts of an id: the one of least hash is learnt from;
+without training rows of both classes the lexicon is empty and every score is
+PRIOR; repeated rows get equal scores; an empty table gives an empty result;
+extra columns are passed through by ``score_documents``, but for one named like
+the score, which gives way to it. A very long text is read clause by clause.
 """
 
 from __future__ import annotations
@@ -28,16 +33,17 @@ import re
 from collections import Counter
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, rows, table
+from .common import cut, rows, shingle_hashes, table
 
-#: Bounds of the training sample, and of the candidate features that come to the driver.
-MAX_POSITIVE, MAX_NEGATIVE, MAX_FEATURES = 4_000, 8_000, 100_000
+#: Bounds of the training sample.
+MAX_POSITIVE, MAX_NEGATIVE = 4_000, 8_000
 PREFIXES = range(3, 9)
 MIN_DOCS, MIN_RATIO, SIGNATURES = 3, 8.0, 8
 THRESHOLD, PRIOR = 0.7, 0.05
@@ -46,17 +52,22 @@ THRESHOLD, PRIOR = 0.7, 0.05
 TARGET = frozenset("you your yours he him his she her they them their these those all every du ihr sie er tu vous il elle ils usted ustedes él ella ellos".split())
 NEGATION = frozenset("not no never nobody none without hardly isnt arent nicht kein keine nie niemals pas jamais aucun sans nunca jamás ningún sin".split())
 REPORT = frozenset("said says say called calls wrote writes quoted quote claimed according sagte schrieb nannte dit écrit appelé dijo escribió llamó".split())
-MODAL = frozenset("will shall gonna going should must want werde wirst vais vas voy".split())
-HARM = frozenset("kill hurt destroy beat shoot stab burn murder strangle töten tuer matar".split())
+MODAL = frozenset("will shall gonna going should must want wanna ll gotta werde wirst wird werden soll sollte muss vais vas va allons vont devrait doit voy vamos van debe quiero".split())
+HARM = frozenset(
+    """kill hurt destroy beat shoot stab burn murder strangle attack crush smash punish choke drown hang slap kick punch harm
+    töten schlagen verprügeln vernichten erschießen umbringen verbrennen erwürgen tuer frapper détruire brûler étrangler écraser
+    matar golpear destruir quemar apuñalar estrangular pegar""".split()
+)
 WORD = re.compile(r"[^\W\d_]+")
-CLAUSE = re.compile(r"[.!?;\n]+")
+#: A sign by itself or a new line ends a clause; signs in a row are emphasis.
+END = re.compile(r"(?<![!?])[.!?;](?![!?])|\n|\Z")
 PART = re.compile(r"[^\W\d_]+|[\"“”„«»]")
 
 
 class Transducer:
-    """A deterministic weighted transducer: step(state, symbol) -> (state, output, factor); closing weight of a state at the clause's end."""
+    """A deterministic weighted transducer: step(state, symbol) -> (state, output, factor), and at the clause's end close(state) -> (factor of all arcs, weight added)."""
 
-    def __init__(self, step, close=lambda state: 0.0, start=0):
+    def __init__(self, step, close=lambda state: (1.0, 0.0), start=0):
         self.step, self.close, self.start = step, close, start
 
     def compose(self, other: Transducer) -> Transducer:
@@ -70,7 +81,11 @@ class Transducer:
                 found = made[state, symbol] = ((a, b), out, f * g)
             return found
 
-        return Transducer(step, lambda s: self.close(s[0]) + other.close(s[1]), (self.start, other.start))
+        def close(state):
+            (f, x), (g, y) = self.close(state[0]), other.close(state[1])
+            return f * g, x + y
+
+        return Transducer(step, close, (self.start, other.start))
 
 
 # Symbols: I insult, T target, N negation, R report, M modal, H harm, Q quotation mark, o other; n and r are weakened insults.
@@ -102,7 +117,7 @@ def _target(bonus: float = 0.5) -> Transducer:
     def step(s, c):
         return s | (1 if c == "T" else 2 if c == "I" else 0), c, 1.0
 
-    return Transducer(step, lambda s: bonus if s == 3 else 0.0)
+    return Transducer(step, lambda s: (1.0, bonus if s == 3 else 0.0))
 
 
 def _threat(weight: float = 2.0) -> Transducer:
@@ -113,11 +128,24 @@ def _threat(weight: float = 2.0) -> Transducer:
             return (s if s == 3 else 0), c, 1.0
         return (s + 1 if s < 3 and c == "MHT"[s] else s), c, 1.0
 
-    return Transducer(step, lambda s: weight if s == 3 else 0.0)
+    return Transducer(step, lambda s: (1.0, weight if s == 3 else 0.0))
+
+
+def _insult() -> Transducer:
+    """An insult, weakened or not, and another word, in either order; without both the arcs of the clause count for nothing. Bits: word, insult."""
+
+    def step(s, c):
+        if c == "Q":
+            return s, c, 1.0
+        if c not in "Inr":
+            return s | 1, c, 1.0
+        return (s | 1 if s & 2 else s | 2), c, 1.0
+
+    return Transducer(step, lambda s: (1.0 if s == 3 else 0.0, 0.0))
 
 
 def grammar() -> Transducer:
-    return reduce(Transducer.compose, [_negation(), _reported(), _target(), _threat()])
+    return reduce(Transducer.compose, [_negation(), _reported(), _target(), _threat(), _insult()])
 
 
 def features(word: str) -> list[str]:
@@ -150,37 +178,44 @@ class Scorer:
     def evidence(self, text: str) -> float:
         low = text.lower()
         known, weight = self.known, self.weight
-        hit = False
-        for w in WORD.findall(low):
+        for m in WORD.finditer(low):
+            w = m[0]
             x = known.get(w)
-            if x is None:
-                x = weight(w)
-            if x or w in HARM:
-                hit = True
+            if (weight(w) if x is None else x) or w in HARM:
                 break
-        if not hit:
+        else:
             return 0.0
-        total = 0.0
-        for clause in CLAUSE.split(low):
-            state, found = self.machine.start, 0.0
-            for token in PART.findall(clause):
-                kind = self._class(token)
-                state, _, factor = self.machine.step(state, kind)
-                if kind == "I":
-                    found += factor * self.known[token]
-            total += found + self.machine.close(state)
+        total, at = 0.0, 0
+        for m in END.finditer(low):
+            total += self._clause(low[at : m.start()])
+            at = m.end()
         return total
 
+    def _clause(self, clause: str) -> float:
+        state, found = self.machine.start, 0.0
+        for m in PART.finditer(clause):
+            token = m[0]
+            kind = self._class(token)
+            state, _, factor = self.machine.step(state, kind)
+            if kind == "I":
+                found += factor * self.known[token]
+        gain, more = self.machine.close(state)
+        return found * gain + more
+
     def score(self, text: str) -> float:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.bias + self.slope * math.log1p(self.evidence(text))))))
 
 
+_SALTS = np.array([xxhash.xxh64_intdigest(str(k)) | 1 for k in range(SIGNATURES)], np.uint64)
+
+
 def signature(text: str) -> list[int]:
     """SIGNATURES minima of salted hashes over five-word shingles; near copies share one almost surely."""
-    w = text.lower().split()
-    hashes = [xxhash.xxh64_intdigest(" ".join(w[k : k + 5])) for k in range(max(1, len(w) - 4))]
-    salts = [xxhash.xxh64_intdigest(str(s)) | 1 for s in range(SIGNATURES)]
-    return [min((h * s) >> 7 & ((1 << 56) - 1) for h in hashes) for s in salts]
+    least = np.full(SIGNATURES, np.iinfo(np.uint64).max)
+    for h in shingle_hashes(text.encode(), 5):
+        for k in range(SIGNATURES):
+            least[k] = min(least[k], (h * _SALTS[k]).min())
+    return (least >> np.uint64(7)).tolist()
 
 
 def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -189,7 +224,9 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> D
     train = one.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
     take = lambda toxic, n: train.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     chosen = take(1, MAX_POSITIVE).unionByName(take(0, MAX_NEGATIVE))
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(chosen), "doc_id")
+    bodies = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("text is not null").join(F.broadcast(chosen), "doc_id")
+    # One text an id, so that the bound holds whatever rows repeat; combined map-side.
+    return bodies.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "toxic", "text")).alias("m")).select("doc_id", "m.toxic", "m.text")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[dict[str, float], float, float]:
@@ -214,41 +251,30 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not positive or not negative:
         return {}, math.log(PRIOR / (1 - PRIOR)), 0.0
 
-    def counts(of: int, wanted: set | None):
-        def run(batches):
-            for whole in batches:
-                for b in rows(whole, 8 << 20):
-                    d = b.to_pydict()
-                    n: Counter = Counter()
-                    for i, toxic, text in zip(d["doc_id"], d["toxic"], d["text"], strict=True):
-                        if toxic == of and i in kept:
-                            own = {f for w in set(WORD.findall(text.lower())) for f in features(w)}
-                            n.update(own if wanted is None else own & wanted)
-                    yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["f", "n"])
-
-        got = sample.mapInArrow(run, "f string, n long").groupBy("f").agg(F.sum("n").alias("n"))
-        least = MIN_DOCS if wanted is None else 0
-        return {r.f: r.n for r in got.where(F.col("n") >= least).orderBy(F.desc("n"), "f").limit(MAX_FEATURES).collect()}
-
-    in_toxic = counts(1, None)
-    in_other = counts(0, set(in_toxic))
+    def counts(batches):
+        for whole in batches:
+            for b in rows(whole, 8 << 20):
+                d = b.to_pydict()
+                n: dict[int, Counter] = {0: Counter(), 1: Counter()}
+                for i, toxic, text in zip(d["doc_id"], d["toxic"], d["text"], strict=True):
+                    if i in kept:
+                        n[toxic].update({f for w in {m[0] for m in WORD.finditer(text.lower())} for f in features(w)})
+                found = list(n[0].keys() | n[1].keys())
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), *(pa.array([n[c][f] for f in found], pa.int64()) for c in (1, 0))], ["f", "a", "b"])
+
+    counted = cut(sample.mapInArrow(counts, "f string, a long, b long").groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where(F.col("a") >= MIN_DOCS))
     share = positive / (positive + negative)
-    needed = math.log(max(2, len(in_toxic))) + 2
+    needed = math.log(max(2, counted.count())) + 2
     # A beginning that says no more than one of its continuations gives way to it.
-    carried: Counter = Counter()
-    for f, a in in_toxic.items():
-        stem = f.rstrip("*")
-        parent = (stem[:-1] if f.endswith("*") else stem[: PREFIXES[-1]]) + "*"
-        carried[parent] = max(carried[parent], a)
-    lexicon = {}
-    for f, a in in_toxic.items():
-        if f.endswith("*") and a < 1.25 * carried[f]:
-            continue
-        b = in_other.get(f, 0)
-        ratio = ((a + 0.5) / (positive + 1)) / ((b + 0.5) / (negative + 1))
-        gain = a * math.log(a / (a + b) / share) + (b * math.log(b / (a + b) / (1 - share)) if b else 0)
-        if ratio >= MIN_RATIO and gain >= needed and a >= 4 * b:
-            lexicon[f] = round(min(5.0, math.log(ratio)) / 5.0, 4)
+    begins = F.endswith("f", F.lit("*"))
+    parent = F.concat(F.when(begins, F.expr("left(f, length(f) - 2)")).otherwise(F.expr(f"left(f, {PREFIXES[-1]})")), F.lit("*"))
+    carried = counted.groupBy(parent.alias("f")).agg(F.max("a").alias("carried"))
+    a, b = F.col("a"), F.col("b")
+    ratio = ((a + 0.5) / (positive + 1)) / ((b + 0.5) / (negative + 1))
+    gain = a * F.log(a / (a + b) / share) + F.when(b > 0, b * F.log(b / (a + b) / (1 - share))).otherwise(0.0)
+    own = counted.join(carried, "f", "left").where(~(begins & (a < 1.25 * F.coalesce("carried", F.lit(0)))))
+    telling = own.where((ratio >= MIN_RATIO) & (gain >= needed) & (a >= 4 * b))
+    lexicon = {r.f: round(min(5.0, math.log(r.ratio)) / 5.0, 4) for r in telling.select("f", ratio.alias("ratio")).collect()}
     scorer_of = Scorer(lexicon)
 
     def weighed(batches):
@@ -286,6 +312,8 @@ def _logistic(points: list[tuple[float, int]], ridge: float = 0.5, rounds: int =
 
 def score_documents(docs: DataFrame, model: tuple[dict[str, float], float, float], text_col: str = "text", out_col: str = "score", drop_from: float | None = None) -> DataFrame:
     """All columns of ``docs``, then the score; with ``drop_from`` rows of that score or more go and no score is added."""
+    if drop_from is None:
+        docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != out_col])
     schema = docs.schema if drop_from is not None else T.StructType([*docs.schema.fields, T.StructField(out_col, T.DoubleType())])
     names = docs.columns
     at = names.index(text_col)
