@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, rows, table, texts
+from .common import rows, table, texts
 
 #: Bound of the training sample in rows; bits of a trigram slot; passes over the sample where it is small.
 TRAIN_ROWS, BITS = 8_000, 14
@@ -155,21 +155,21 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     def voted(batches):
         for whole in batches:
             for batch in rows(whole, name="t"):
-                got = ["".join(map(str, votes(t))) for t in texts(batch, "t")]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.string()), batch.column(1)], ["id", "votes", "t"])
+                yield pa.RecordBatch.from_arrays([pa.array(["".join(map(str, votes(t))) for t in texts(batch, "t")], pa.string())], ["votes"])
 
-    with_votes = keyed.mapInArrow(voted, f"id {id_type}, votes string, t string")
     # At most 3 ** labellers patterns come to the driver, counted over all documents.
-    patterns = {tuple(map(int, r.votes)): r.n for r in with_votes.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counted = keyed.select("t").mapInArrow(voted, "votes string").groupBy("votes").agg(F.count(F.lit(1)).alias("n"))
+    patterns = {tuple(map(int, r.votes)): r.n for r in counted.collect()}
     if not patterns:
         return keyed.select(F.col("id").alias(id_col), F.lit("").alias("votes"), F.lit(0.0).alias("posterior"), F.lit(0.0).alias("score"), F.lit(True).alias("kept"))
     share, accuracies = expectation_maximisation(patterns)
     soft = dict(zip(patterns, posterior(np.array(list(patterns)), share, accuracies).tolist(), strict=True))
     h = F.xxhash64(F.coalesce(F.col("t"), F.lit("")))
     total = max(1, keyed.agg(F.approx_count_distinct(h, 0.02)).first()[0])
-    # The sample: the lowest hashes of the distinct texts, cut at a share that leaves about TRAIN_ROWS of them, then at the bound itself.
-    bound = min((1 << 63) - 1, int(min(1.0, 1.2 * TRAIN_ROWS / total) * (1 << 64)) - (1 << 63))
-    chosen = keyed.withColumn("h", h).where(F.col("h") <= F.lit(bound).cast("long")).select("h", "t").dropDuplicates(["h"]).orderBy("h").limit(TRAIN_ROWS)
+    # The sample: the lowest hashes of the distinct texts. Hashes alone, about TRAIN_ROWS of them, tell where the bound lies exactly.
+    about = min((1 << 63) - 1, int(min(1.0, 1.2 * TRAIN_ROWS / total) * (1 << 64)) - (1 << 63))
+    lowest = sorted(r.h for r in keyed.select(h.alias("h")).where(F.col("h") <= F.lit(about).cast("long")).distinct().collect())[:TRAIN_ROWS]
+    chosen = keyed.select(h.alias("h"), "t").where(F.col("h") <= F.lit(lowest[-1] if lowest else -(1 << 63)).cast("long")).groupBy("h").agg(F.first("t").alias("t"))
 
     def profiled(batches):
         for whole in batches:
@@ -178,13 +178,13 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 for hash_, text in zip(batch.column(0).to_pylist(), texts(batch, "t"), strict=True):
                     a, v = profile(text)
                     hs.append(hash_)
-                    at.append(a)
-                    vs.append(v)
+                    at.append(a.astype(np.uint16).tobytes())
+                    vs.append(v.astype(np.float32).tobytes())
                     ys.append(soft[tuple(votes(text))])
-                yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(at, pa.list_(pa.int32())), pa.array(vs, pa.list_(pa.float32())), pa.array(ys, pa.float64())], ["h", "at", "v", "y"])
+                yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(at, pa.binary()), pa.array(vs, pa.binary()), pa.array(ys, pa.float64())], ["h", "at", "v", "y"])
 
-    taken = cut(chosen).mapInArrow(profiled, "h long, at array<int>, v array<float>, y double")
-    examples = [(np.array(r.at, np.int32), np.array(r.v, np.float32), r.y) for r in sorted(taken.toLocalIterator(), key=lambda r: r.h)]
+    taken = chosen.mapInArrow(profiled, "h long, at binary, v binary, y double")
+    examples = [(np.frombuffer(r.at, np.uint16), np.frombuffer(r.v, np.float32), r.y) for r in sorted(taken.toLocalIterator(), key=lambda r: r.h)]
     w, bias = train(examples)
     shared = docs.sparkSession.sparkContext.broadcast((soft, w.astype(np.float32), bias))
 
