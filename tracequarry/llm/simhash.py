@@ -82,14 +82,18 @@ def links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Da
     """Pairs a < b of distinct fingerprints within ``radius`` differing bits, each once."""
     spark = distinct.sparkSession
     masked = [0]
-    members = distinct.select("fp", F.lit(0).cast("long").alias("mask"))
+    members = distinct.select("fp")
     found = None
     while members is not None:
         # A table of (2**(radius + 1) - 1)**level masks, whatever the data.
         parted = {m: masks(radius, m) for m in masked}
         masked = sorted({x for own in parted.values() for x in own})
-        family = F.broadcast(spark.createDataFrame([(_signed(m), [_signed(x) for x in own]) for m, own in parted.items()], "mask long, inner array<long>"))
-        tagged = members.join(family, "mask").select("fp", F.explode("inner").alias("mask")).select("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("key"), "fp")
+        if found is None:
+            each = members.select("fp", F.explode(F.array(*[F.lit(_signed(x)).cast("long") for x in masked])).alias("mask"))
+        else:
+            family = F.broadcast(spark.createDataFrame([(_signed(m), [_signed(x) for x in own]) for m, own in parted.items()], "mask long, inner array<long>"))
+            each = members.join(family, "mask").select("fp", F.explode("inner").alias("mask"))
+        tagged = each.select("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("key"), "fp")
         # A bucket of one can't link: counted first, combined map-side.
         sizes = cut(tagged.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
         all_fit = 1 << max(64 - m.bit_count() for m in masked) <= bucket
