@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import checkpoint, compatibility, graph, identity, pairing
 from ..operators.graph import cut
-from ..schema import CODES, TIMESTAMP_SKEW_MS, as_findings
+from ..schema import CODES, REPAIR_OF, TIMESTAMP_SKEW_MS, as_findings
 from ..sources import files as source
 from ..sources.formats import FOREIGN
 from . import corpus
@@ -105,7 +105,8 @@ def run(parts: dict[str, DataFrame], profile: Profile = NEUTRAL) -> dict[str, Da
     shapes = rollout.where(extra("$.shape").isNotNull()).select("session", "ordinal", F.lit("reasoning").alias("family"), extra("$.shape").alias("shape"))
     add("SL305", lambda: compatibility.foreign_shapes(shapes), "first_ordinal")
     add("SL401", lambda: compatibility.unresolved_links(parts["links"], source.link_keys(parts)).withColumnRenamed("file", "session"), severity=F.when(F.col("resolution") == "unresolved", "info").otherwise("warning"))
-    reader = parts["findings"].where(F.col("code").isin(*on)).select("session", "code", "severity", F.lit("manual").alias("repairability"), "idx", "record_id", F.array().cast("array<string>").alias("related_ids"), "evidence")
+    mendable = F.create_map(*[F.lit(x) for kv in REPAIR_OF.items() for x in kv])
+    reader = parts["findings"].where(F.col("code").isin(*on)).select("session", "code", "severity", F.coalesce(mendable[F.col("code")], F.lit("manual")).alias("repairability"), "idx", "record_id", F.array().cast("array<string>").alias("related_ids"), "evidence")
     findings = reader.where("code <> 'SL306'").unionByName(_metadata(reader.where("code = 'SL306'")))
     for _, df in out:
         findings = findings.unionByName(df)
