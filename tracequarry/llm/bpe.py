@@ -3,13 +3,19 @@
 Encoding keeps the symbols of a word in a doubly linked list and the ranks of
 adjacent pairs in a priority queue; an entry whose symbols have changed since
 it was pushed is skipped. Decoding concatenates vocabulary strings. Words repeat,
-so each worker remembers the encoded form of up to ``CACHE`` words.
+so each worker remembers the encoded form of up to ``CACHE`` words, of
+``CACHE_BYTES`` altogether.
+
+Case and classes of characters come from Python's tables where these know the
+character; a text with others is lowered and parted by the tables of the
+tokenizers library, which may be of another version.
 
 Defined cases: a null text is empty, and an empty text has no tokens and
 decodes to ''; a symbol outside the vocabulary is left out (the file names no
 unknown token); the strings of special tokens in a text become those tokens;
 repeated rows are each encoded; an empty table gives an empty result; extra
-columns are ignored.
+columns are ignored; a very long text is one list of words, and a word of any
+length is merged in the order of its queue.
 """
 
 from __future__ import annotations
@@ -25,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import rows, table
 
-CACHE = 600_000
+CACHE, CACHE_BYTES = 600_000, 96 << 20
 #: Unicode white space.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
@@ -37,6 +43,11 @@ def _byte_chars() -> list[str]:
     return [chr(b) if b in printable else chr(next(free)) for b in range(256)]
 
 
+def _unknown(word: str) -> bool:
+    """Whether Python's tables lack one of the characters."""
+    return not word.isascii() and any(unicodedata.category(c) == "Cn" for c in word)
+
+
 def _lower(text: str) -> str:
     """Lower case character by character, without the rule for a final sigma."""
     return text.lower() if "Σ" not in text else "".join(map(str.lower, text))
@@ -59,6 +70,8 @@ class BytePairs:
         self.words = regex.compile(rf"\p{{L}}+|'(?:s|t|re|ve|m|ll|d)|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.known: dict[str, tuple[int, str, str]] = {}
+        self.held = 0
+        self.spec, self.library = spec, None
 
     @classmethod
     def load(cls, path: str) -> BytePairs:
@@ -93,11 +106,26 @@ class BytePairs:
 
     def _entry(self, word: str) -> tuple[int, str, str]:
         ids = self.merge(word)
-        if len(self.known) >= CACHE:
+        found = (len(ids), " ".join(map(str, ids)), " ".join(self.strings[i] for i in ids))
+        size = len(word) + len(found[1]) + len(found[2])
+        if len(self.known) >= CACHE or self.held + size > CACHE_BYTES:
             self.known.clear()
-        self.known[word] = found = (len(ids), " ".join(map(str, ids)), " ".join(self.strings[i] for i in ids))
+            self.held = 0
+        # A word that is remembered has no unknown character, so only new words need be looked at.
+        if size <= CACHE_BYTES // 16 and not _unknown(word):
+            self.known[word] = found
+            self.held += size
         return found
 
+    def _library_words(self, part: str) -> list[str]:
+        """The words of a text without special tokens, lowered and parted by the library."""
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_str(json.dumps(self.spec))
+        clean = self.library.normalizer.normalize_str(part)
+        return [clean[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(clean)]
+
     def pieces(self, text: str):
         """(number of tokens, ids, token strings) of each word or special token in turn, joined by one space."""
         for part in self.split.split(text) if self.split else [text]:
@@ -105,7 +133,11 @@ class BytePairs:
                 yield 1, str(self.special[part]), part
             elif part:
                 words = self.words.findall(_lower(part if part.isascii() else unicodedata.normalize("NFC", part)))
-                for word, found in zip(words, map(self.known.get, words), strict=True):
+                looked = list(map(self.known.get, words))
+                if None in looked and not part.isascii() and any(found is None and _unknown(word) for word, found in zip(words, looked, strict=True)):
+                    words = self._library_words(part)
+                    looked = list(map(self.known.get, words))
+                for word, found in zip(words, looked, strict=True):
                     found = found or self._entry(word)
                     if found[0]:
                         yield found
