@@ -135,7 +135,8 @@ def broken(tmp_path):
 
 def test_conservative_repair_and_its_proof(spark, tmp_path):
     log = broken(tmp_path)
-    done = api.repair(spark, log)
+    of = {"profile": runner.NEUTRAL.select(["SL002", "SL003", "SL004", "SL101", "SL104", "SL203"])}
+    done = api.repair(spark, log, **of)
     status = {(r.code, r.record_id): (r.status, r.recipe) for r in done["steps"].collect()}
     assert status["SL003", "e1"] == ("apply", "identical-duplicate-drop")
     assert status["SL004", "e3"] == ("apply", "proven-unique-parent-restore")
@@ -146,14 +147,14 @@ def test_conservative_repair_and_its_proof(spark, tmp_path):
     rows = done["events"].orderBy("seq").collect()
     assert [r.id for r in rows] == ["e0", "e1", "e3", "e4", "e6", "e7", "e8", "e10", "e11", "lone"]
     assert {r.id: r.parent_id for r in rows}["e3"] == "e0"
-    checks = api.verify(spark, log, done["events"], done["manifest"])
+    checks = api.verify(spark, log, done["events"], done["manifest"], **of)
     assert tuple(checks) == repairs.CHECKS and all(checks.values()), checks
     # Each kind of tampering fails its check, and the others are still made.
     lost = done["events"].where("id <> 'e7'")
-    bad = api.verify(spark, log, lost, done["manifest"])
+    bad = api.verify(spark, log, lost, done["manifest"], **of)
     assert not bad["output_hash"] and not bad["transformation_audit"] and not bad["loss_audit"] and bad["source_hash"] and bad["plan_fingerprint"]
     (tmp_path / "a.jsonl").write_text((tmp_path / "a.jsonl").read_text().replace('"t": 0', '"t": 7'))
-    assert not api.verify(spark, log, done["events"], done["manifest"])["source_hash"]
+    assert not api.verify(spark, log, done["events"], done["manifest"], **of)["source_hash"]
 
 
 def test_salvage_needs_its_mode_and_an_acknowledgement(spark, tmp_path):
