@@ -141,6 +141,26 @@ def test_links_and_index(spark):
     assert rows(compatibility.index_divergence(key("a", "b"), key("b", "c"), False), "divergence", "key") == [("file-not-in-index", "c")]
 
 
+def test_links_are_not_multiplied_by_the_files_of_a_key(spark):
+    """No step of the plan makes more rows than there are links and keys, however many files answer a target; null fields hide no candidate."""
+    links = spark.range(300).selectExpr("concat('f', id % 7) file", "cast(id as int) link_index", "'session_ref' link_kind", "'a' target").union(spark.sql("select 'f1', null, 'head_ref', 'a' union all select null, 1, null, 'a' union all select 'f2', 2, null, 'b'"))
+    keys = spark.range(200).selectExpr("'a' key", "concat('f', id) file").union(spark.sql("select 'b', 'f2' union all select 'b', null union all select null, 'f3'"))
+    df = compatibility.unresolved_links(links, keys)
+    got = [(r.file, r.candidate_count, r.resolution) for r in df.collect()]
+    assert sorted(got, key=str) == sorted([(f"f{k % 7}", 199, "ambiguous") for k in range(300)] + [("f1", 199, "ambiguous"), (None, 0, "missing"), ("f2", 0, "missing")], key=str)
+    made, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        n = node.metrics().get("numOutputRows")
+        if "Join" in kind and n.isDefined():
+            made.append(n.get().value())
+        inner = [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else []
+        below = node.children()
+        todo += inner + [below.apply(k) for k in range(below.size())]
+    assert made and max(made) <= 303
+
+
 def test_nearest_rank(spark):
     for n in (1, 2, 7, 20):
         v = sorted(random.Random(n).choices(range(9), k=n))

@@ -77,13 +77,16 @@ def unresolved_links(links: DataFrame, keys: DataFrame) -> DataFrame:
     """SL401: references that no other file, or more than one, answers.
 
     ``links``: file, link_index, link_kind, target; ``keys``: key, file (session
-    ids, file stems, tips). Null targets are no links.
+    ids, file stems, tips). Null targets are no links, and a link without a file
+    has no candidates. A target's files are counted once and the link's own file
+    is taken off, so that links are never multiplied by the files of a key.
     """
     bare = links.where("target is not null")
-    hits = bare.join(keys.select(F.col("key").alias("target"), F.col("file").alias("other")).distinct(), "target")
-    # Distinct keys a file: counting rows counts files.
-    counted = hits.where("other <> file").groupBy("file", "link_index", "link_kind", "target").agg(F.count_distinct("other").alias("candidates"))
-    full = bare.join(counted, ["file", "link_index", "link_kind", "target"], "left").withColumn("candidate_count", F.coalesce("candidates", F.lit(0)))
+    known = keys.where("file is not null").select(F.col("key").alias("target"), "file").distinct()
+    held = known.groupBy("target").agg(F.count(F.lit(1)).alias("files"))
+    own = known.withColumn("own", F.lit(1))
+    counted = bare.join(held, "target", "left").join(own, ["target", "file"], "left")
+    full = counted.withColumn("candidate_count", F.when(F.col("file").isNull(), 0).otherwise(F.coalesce("files", F.lit(0)) - F.coalesce("own", F.lit(0))))
     soft = F.col("target").contains("/") | (F.col("link_kind") == "head_ref")
     resolution = F.when(F.col("candidate_count") > 1, "ambiguous").when(soft, "unresolved").otherwise("missing")
     return full.where("candidate_count <> 1").select("file", "link_index", "link_kind", "target", "candidate_count", resolution.alias("resolution"))
