@@ -560,6 +560,32 @@ def test_near_copies_link_whatever_leads_their_bucket(spark, monkeypatch):
         assert len(set(at[:4])) == 1 and at[4] == at[5] == at[8] and at[6] == at[7] and len(set(at)) == 3
 
 
+def test_components_of_near_copies_in_one_task_and_by_rounds(spark, monkeypatch):
+    """Few edges take three jobs, not a dozen for each round; both ways give what a plain union gives."""
+    import random
+
+    from tracequarry.llm import near_copies as m
+
+    rng = random.Random(7)
+    edges = [(rng.randrange(-400, 400), rng.randrange(-400, 400)) for _ in range(350)] + [(k, k + 1) for k in range(1000, 1300)] + [(5, 5), (-(2**63), 2**63 - 1)]
+    root = {x: x for e in edges for x in e}
+    for _ in range(400):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    df = spark.createDataFrame(edges, "a long, b long")
+    want = [(x, r) for x, r in root.items() if x != r]
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("settled", "")
+    got = m.components(df)
+    n = len(jobs.getJobIdsForGroup("settled"))
+    spark.sparkContext.setJobGroup("", "")
+    same(got, want)
+    assert n <= 12
+    same(m.components(df.where("false")), [])
+    monkeypatch.setattr(m, "SETTLED", 10)
+    same(m.components(df), want)
+
+
 def test_pipeline_takes_out_long_lines(spark):
     import corpus_pipeline as p
 

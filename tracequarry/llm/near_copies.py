@@ -23,8 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, rows, shingle_hashes, text_of, texts
-from .simhash import components
+from . import simhash
+from .common import cut, free, rows, shingle_hashes, text_of, texts
 
 SHINGLE, SIMILARITY = 5, 0.8
 ROWS, TABLES = 8, 50
@@ -34,6 +34,8 @@ WORDS, DIFFER = 6, 66
 STARS = 2
 #: Shingles whose minima are taken at a time, for bounded memory on very long texts.
 CHUNK = 1 << 10
+#: Edges that one task settles, 16 MB of them; more go through the star rounds.
+SETTLED = 1 << 20
 
 _FACTORS = np.random.default_rng(42).integers(1, 1 << 63, (ROWS * TABLES, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -104,6 +106,33 @@ def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
     return cut(rooted.join(mixed, "key", "left_semi"))
 
 
+def settle(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the edges (a, b) that are not the least of their component, and that least node."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    up, (x, y) = np.arange(len(nodes)), np.split(at, 2)
+    while (up[x] != up[y]).any():
+        # Roots are hung below lesser roots only, so there is no cycle.
+        np.minimum.at(up, np.maximum(up[x], up[y]), np.minimum(up[x], up[y]))
+        while (up[up] != up).any():
+            up = up[up]
+    low = up != np.arange(len(nodes))
+    return nodes[low], nodes[up[low]]
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """As ``simhash.components``, whose rounds take a dozen plans each of the driver's memory; up to ``SETTLED`` edges need one task only."""
+
+    def run(batches):
+        found = [(np.empty(0, np.int64),) * 2, *((b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches)]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in settle(*map(np.concatenate, zip(*found, strict=True)))], ["node", "root"])
+
+    e = cut(edges.where("a <> b").select("a", "b").distinct())
+    got = cut(e.coalesce(1).mapInArrow(run, "node long, root long") if e.count() <= SETTLED else simhash.components(e))
+    # What this step has left on the driver's heap and the executors' disks would else pile up.
+    free(edges.sparkSession)
+    return got
+
+
 def similar_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """h, root: of each text hash that is near another one, the least hash of its component; a root itself is left out."""
     marked = _sketches(docs, text_col)
