@@ -6,7 +6,7 @@ columns of ``documents``.
 
 - toxicity drops the documents that the scorer rejects (score 0.7 or more);
 - line_dedup takes cross-site boilerplate lines, of any length, out of the texts;
-- near_dedup keeps of each component of near copies (Jaccard 0.8 of five-word shingles) the row of least id;
+- near_dedup keeps of each component of near copies (SimHash candidates, Jaccard 0.8 of five-word shingles) the row of least id;
 - decontaminate cuts the spans of benchmark windows out of the texts;
 - encode returns the token counts and digests of what is left.
 """

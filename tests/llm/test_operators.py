@@ -560,6 +560,32 @@ def test_near_copies_link_whatever_leads_their_bucket(spark, monkeypatch):
         assert len(set(at[:4])) == 1 and at[4] == at[5] == at[8] and at[6] == at[7] and len(set(at)) == 3
 
 
+def test_near_copies_within_the_radius_come_through_the_covering_tables(spark, monkeypatch):
+    """By the SimHash tables alone, every similar pair within the radius is linked."""
+    import random
+
+    from tracequarry.llm import near_copies as m
+    from tracequarry.llm.simhash import fingerprint
+
+    rng, data = random.Random(3), []
+    for g in range(12):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        data.append(words)
+        for _ in range(4):
+            data.append(list(words))
+            data[-1][rng.randrange(200)] = "edited"
+    data = [" ".join(x) for x in data]
+    prints = [fingerprint(t.encode(), 5) for t in data]
+    within = [(x, y) for y in range(len(data)) for x in range(y) if (prints[x] ^ prints[y]).bit_count() <= m.RADIUS and m.jaccard(data[x].encode(), data[y].encode()) >= 0.8]
+    real, own = m.sketch, len(m.MASKS)
+    monkeypatch.setattr(m, "sketch", lambda text: (real(text)[0][:own], real(text)[1]))
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(data)], "doc_id long, text string")
+    roots = {r.h: r.root for r in m.similar_texts(docs).collect()}
+    at = [roots.get(r.h, r.h) for r in docs.select(m.text_hash().alias("h")).collect()]
+    assert own == 15 and len(within) > 20
+    assert all(at[x] == at[y] for x, y in within)
+
+
 def test_components_of_near_copies_in_one_task_and_by_rounds(spark, monkeypatch):
     """Few edges take three jobs, not a dozen for each round; both ways give what a plain union gives."""
     import random
